@@ -24,6 +24,73 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return _p1(spark, d).groups()
 
 
+def _similar(spans: DataFrame, **options) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from weft.llm.vectors import similar_vectors
+
+    return similar_vectors(spans.select("id", F.col("model").alias("grp"), "embedding"), **options)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from weft.llm.vectors import mutual_pairs
+
+    tune(spark)
+    ranked = _similar(table(spark, d, "spans"), k=5, least=0.9, hashes=2, tables=8, probes=4)
+    return mutual_pairs(ranked).toDF("span_a", "span_b")
+
+
+def p2_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar spans of each span whose id is divisible by 20 (the last eight digits of
+    the id, read as a hexadecimal number), among all spans of its model."""
+    from pyspark.sql import functions as F
+
+    tune(spark)
+    asks = F.coalesce(F.expr("try_to_number(conv(right(id, 8), 16, 10), '9999999999') % 20 = 0"), F.lit(False))
+    ranked = _similar(table(spark, d, "spans"), k=10, hashes=1, tables=12, probes=4, asks=asks)
+    return ranked.select(F.col("a").alias("span_id"), F.col("b").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from weft.llm.conversations import sound_turns
+
+    return sound_turns(*(table(tune(spark), d, t) for t in ("messages", "sessions", "role_aliases")))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation, threads without a session id included, and what is wrong with it."""
+    from weft.llm.conversations import reports
+
+    return reports(*(table(tune(spark), d, t) for t in ("messages", "role_aliases")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pieces(spark, d).select("kind", "item_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    from weft.llm.splitting import split_corpus
+
+    return split_corpus(*(table(tune(spark), d, t) for t in ("spans", "artifacts")))
+
+
+def p5_bins(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every candidate span of every request; split spans have several rows."""
+    from weft.llm.packing import pack_items, request_items
+
+    return pack_items(request_items(*(table(tune(spark), d, t) for t in ("compile_requests", "request_spans", "spans"))))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_bins(spark, d).filter("parts > 1").selectExpr("group_id as request_id", "item_id as span_id").distinct()
+
+
+def p5_fill(spark: SparkSession, d: str) -> DataFrame:
+    from weft.llm.packing import summary
+
+    return summary(p5_bins(spark, d)).withColumnRenamed("group_id", "request_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

@@ -91,6 +91,41 @@ def p5_fill(spark: SparkSession, d: str) -> DataFrame:
     return summary(p5_bins(spark, d)).withColumnRenamed("group_id", "request_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_screened(spark, d).filter("is_case").select("item_id").distinct()
+
+
+def p6_screened(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with the verdict: those that are no case bring something new."""
+    from weft.llm.history import screen_items
+
+    return screen_items(*(table(tune(spark), d, t) for t in ("artifacts", "ingest_items")))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    from weft.llm.encoding import encode
+
+    return encode(table(tune(spark), d, "documents"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    from weft.llm.mixing import mix
+
+    return mix(*(table(tune(spark), d, t) for t in ("documents", "mix_targets")))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    from weft.llm.mixing import report
+
+    return report(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from weft.llm.sentences import find_sentences
+
+    return find_sentences(table(tune(spark), d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

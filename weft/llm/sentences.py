@@ -46,6 +46,7 @@ _SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}_.\-]*$")
 _NEXT = regex.compile(r"[^\p{L}\p{N}]*(?P<word>[\p{L}\p{M}\p{N}_.()]*)")
 _IDENTIFIER = regex.compile(r"\w+_\w|\w+\(\)|\p{L}+\.\p{L}{2,}")
+_REFERENCE = re.compile(r"pp?\.\s?\d")
 _SPECIAL = re.compile(r"\s*(?:<\|?[^<>\s]{1,20}\|?>|\[[A-Z]{2,5}\]|[^\w\s\"“„«‘(\[「『《¿¡*`.,;:—–-]+)\s+")
 
 
@@ -129,7 +130,8 @@ def _run(symbols: list[int], state: int) -> list[bool]:
 _LINE = re.compile(r"[^\n]*\n?")
 _FENCE = re.compile(r"[ \t]{0,8}(`{3,}|~{3,})")
 _HEAD = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]+\S|[ \t]*\r?\n?$)")
-_ITEM = regex.compile(r"[ \t]*(?:[-*+•‣◦·]|\(?\p{Nd}{1,3}[.)]|\(?[a-zA-Z][.)](?=[ \t]+\S))[ \t]+")
+_ITEM = regex.compile(r"[ \t]*(?:[-*+•‣◦·]|(?P<number>\(?\p{Nd}{1,3}[.)])|\(?[a-zA-Z]\))[ \t]+(?=\S)")
+_STOP = regex.compile(rf"(?:[{_ENDS}:][{_CLOSERS}]*)\s*$")
 _LABEL = regex.compile(r"[ \t]*(?:\[[\w -]{1,20}\]|[\p{L}\p{M}][\p{L}\p{M}\p{N}_.-]{0,24}[ \t]?[:：](?=[ \t]))[ \t]*")
 
 
@@ -137,8 +139,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, int]]:
     """(start, first text, end) of the layout blocks; the first text follows markers and labels. A
     fence or a heading has its first text at its end: nothing inside it is cut."""
     start = body = None
-    at, fence, opened = 0, "", 0
-    ended = True  # the line before was blank, a heading, a fence or nothing
+    at, fence, opened, listed = 0, "", 0, False
     while at < len(text):
         end = _LINE.match(text, at).end()
         line = text[at:end]
@@ -146,12 +147,14 @@ def blocks(text: str) -> Iterator[tuple[int, int, int]]:
             m = _FENCE.match(line)
             if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line[m.end() :].strip():
                 yield opened, end, end
-                fence, ended = "", True
+                fence = ""
             at = end
             continue
         m = _FENCE.match(line)
         special = m or _HEAD.match(line)
         item = None if special else _ITEM.match(line)
+        if item and item["number"] and start is not None and not listed and not _STOP.search(text[max(start, at - 40) : at]):
+            item = None  # a number that a wrapped line happens to begin with
         if start is not None and (special or item or not line.strip()):
             yield start, body, at
             start = None
@@ -163,6 +166,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, int]]:
             if start is None:
                 label = _LABEL.match(line, item.end() if item else 0)
                 start, body = at, at + (label.end() if label else item.end() if item else 0)
+                listed = bool(item)
         at = end
     if fence:
         yield opened, len(text), len(text)
@@ -205,7 +209,7 @@ def _ends(text: str, begin: int, marks: str, at: int, closed: int, end: int) ->
     first = shown[0]
     word = _NEXT.match(shown[:80])["word"]
     small = bool(word) and word[0].islower()
-    named = bool(word) and bool(_IDENTIFIER.match(word))
+    named = bool(word) and bool(_IDENTIFIER.match(word) or _REFERENCE.match(shown))
     if marks == "." and not closers:
         before = _WORD_BEFORE.search(text[max(begin, at - 24) : at])[0]
         low = before.lower().lstrip("-.")
@@ -221,7 +225,7 @@ def _ends(text: str, begin: int, marks: str, at: int, closed: int, end: int) ->
             return "" if small and not named or word[:1].isdigit() and low not in ("etc", "al", "a.m", "p.m", "inc", "corp", "co", "ltd", "bros") else "sure"
         if low in BEFORE_ANY:
             return ""
-        if len(before) == 1 and before.isupper():  # an initial
+        if len(before) == 1 and before.isalpha() and (before.isupper() or regex.match(r"\p{L}\.", shown)):  # an initial, parts of an abbreviation
             return ""
         if before.isdigit() and len(before) <= 2 and not small:
             lead = regex.search(r"(\p{L}+)\s+\p{Nd}{1,2}$", text[max(begin, at - 20) : at])
@@ -292,6 +296,8 @@ def events(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
                     doubled, single = doubled and kind != "d", single and kind != "s"
                     shut.append(kind)
                     closed += 1
+                elif c == "'" and not text[closed + 1 : closed + 2].isalnum():
+                    closed += 1
                 elif c in "*_`" and shut:
                     closed += 1
                 else:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from weft.llm.encoding import count_tokens
 from weft.runtime import stage
@@ -124,8 +124,7 @@ def report(taken: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, docs, most_copies) of every source of the targets."""
     wanted = targets.select(source_key("source").alias("source"), "target_share", F.col("max_repeats").alias("allowed")).filter("source is not null")
     got = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("docs"), F.max("copies").alias("most_copies"))
-    total = got.agg(F.sum("tokens").alias("total"))
-    out = wanted.join(got, "source", "left").join(F.broadcast(total), how="left")
+    out = wanted.join(got, "source", "left").withColumn("total", F.sum("tokens").over(W.partitionBy()))  # one row a source
     return out.select(
         "source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.col("total")).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "allowed",

@@ -39,8 +39,13 @@ def hash_embedding(text: Column, dim: int) -> Column:
     Entry i is ((h + i) mod 2000 - 1000) / 1000 before scaling, h being the first 32 bits of the MD5.
     """
     h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: ((h + i) % 2000 - 1000) / F.lit(1000.0))
-    return F.transform(raw, lambda x: x / norm(raw))
+    # Lambdas bind the hash and the length, so that they are computed once for each row.
+    raw = _bound(h, lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: ((h + i) % 2000 - 1000) / F.lit(1000.0)))
+    return _bound(raw, lambda v: _bound(norm(v), lambda n: F.transform(v, lambda x: x / n)))
+
+
+def _bound(value: Column, use) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def usable(v: Column, dim: int) -> Column:

@@ -118,9 +118,9 @@ def like_pattern(query: str) -> re.Pattern:
     return re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in query), re.S)
 
 
-def lexical_matches(queries: DataFrame, spans: DataFrame, block: int = TEXTS) -> DataFrame:
-    """(query_id, id) of all spans (id, text) that contain the whole query, ASCII letters compared
-    without case, ``%`` and ``_`` being wildcards.
+def lexical_matches(queries: DataFrame, spans: DataFrame, block: int = TEXTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, *carry) of all spans (id, text, *carry) that contain the whole query, ASCII
+    letters compared without case, ``%`` and ``_`` being wildcards. Spans given twice count once.
 
     One pass over the spans looks for a whole block of queries: an Aho-Corasick automaton finds the
     longest literal piece of each query, and a query with wildcards is then matched in full. Null and
@@ -129,7 +129,8 @@ def lexical_matches(queries: DataFrame, spans: DataFrame, block: int = TEXTS) ->
     import ahocorasick
 
     spark = spans.sparkSession
-    shape = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(spans.dtypes)['id']}"
+    names = ["id", *carry]
+    shape = f"query_id {dict(queries.dtypes)['query_id']}, " + ", ".join(f"{c} {dict(spans.dtypes)[c]}" for c in names)
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     parts = []
     for frame in _blocks(queries.select("query_id", "query").filter("query is not null and query <> ''"), block):
@@ -151,7 +152,7 @@ def lexical_matches(queries: DataFrame, spans: DataFrame, block: int = TEXTS) ->
             patterns: dict[str, re.Pattern] = {}
             for f in frames:
                 q, s = [], []
-                for i, text in zip(f["id"], f["text"]):
+                for i, text in enumerate(f["text"]):
                     text = text.translate(lower)
                     asked = [x for piece in {p for _, p in automaton.iter(text)} for x in wanted[piece]] if wanted else []
                     for query_id, query, literal in asked + always:
@@ -162,20 +163,20 @@ def lexical_matches(queries: DataFrame, spans: DataFrame, block: int = TEXTS) ->
                                 continue
                         q.append(query_id)
                         s.append(i)
-                yield pd.DataFrame({"query_id": q, "id": s})
+                yield f.iloc[s][names].assign(query_id=q)[["query_id", *names]]
 
-        parts.append(spans.filter("text is not null").select("id", "text").mapInPandas(run, shape))
+        parts.append(spans.filter("text is not null").select(*names, "text").mapInPandas(run, shape))
     if not parts:
         return spark.createDataFrame([], shape)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.dropDuplicates(["query_id", "id"])
 
 
 def lexical_topk(queries: DataFrame, spans: DataFrame, k: int = LEXICAL_K) -> DataFrame:
     """(query_id, id, rank): the first k matching spans by artifact, line and id."""
-    found = lexical_matches(queries, spans).join(spans.select("id", "artifact_id", "start_line"), "id")
+    found = lexical_matches(queries, spans, carry=("artifact_id", "start_line"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("artifact_id", F.col("start_line").asc_nulls_last(), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", "rank")
 

@@ -365,22 +365,22 @@ fused AS (SELECT f.*, s.artifact_id, s.start_line, CAST(greatest(coalesce(s.toke
 
 
 def compiler_of(t, **options) -> Compiler:
-    return Compiler(spans_of(t, True), artifacts_of(t), Config(**options))
+    return Compiler(t("spans"), t("artifacts"), Config(**options))
 
 
 @query(WITH + _SEM + " SELECT query_id, id, round(score, 6) AS score, rank FROM sem")
 def semantic_search(t):
-    return compiler_of(t).stages(requests_of(t))["semantic"].withColumn("score", F.round("score", 6)).select("query_id", "id", "score", "rank")
+    return compiler_of(t).stages(requests_of(t), "semantic")["semantic"].withColumn("score", F.round("score", 6)).select("query_id", "id", "score", "rank")
 
 
 @query(WITH + _FUSED + " SELECT query_id, id, round(score, 9) AS score, rank FROM fused")
 def rrf_fusion(t):
-    return compiler_of(t).stages(requests_of(t))["hybrid"].withColumn("score", F.round("score", 9))
+    return compiler_of(t).stages(requests_of(t), "hybrid")["hybrid"].withColumn("score", F.round("score", 9))
 
 
 @query()
 def mmr_select(t):
-    return compiler_of(t).stages(requests_of(t))["mmr"].select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+    return compiler_of(t).stages(requests_of(t), "mmr")["mmr"].select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
 _COMPILED = WITH + _FUSED + _packed(source="fused") + _cited()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weft.functions import vectors as V
 from weft.operators import context, retrieval, selection
+from weft.runtime import stage
 
 
 @dataclass(frozen=True)
@@ -31,37 +32,49 @@ class Compiler:
 
     def __init__(self, spans: DataFrame, artifacts: DataFrame, config: Config = Config()) -> None:
         self.config = config
-        paths = artifacts.select(F.col("id").alias("artifact_id"), "path").dropDuplicates(["artifact_id"])
-        tokens = F.greatest(F.coalesce(F.col("token_count"), F.lit(0)), F.lit(0)).cast("long")
-        columns = ["id", "artifact_id", "start_line", "end_line", "text", "embedding"]
-        self.spans = spans.select(*columns, tokens.alias("tokens")).filter("id is not null").dropDuplicates(["id"])
-        self.paths = paths
+        self.spans = spans.filter("id is not null").select("id", "artifact_id", "start_line", "end_line", "text", "embedding", "token_count")
+        self.paths = artifacts.select(F.col("id").alias("artifact_id"), "path").dropDuplicates(["artifact_id"])
 
     def requests(self, queries: DataFrame) -> DataFrame:
         budget = F.col("budget") if "budget" in queries.columns else F.lit(None)
         vector = F.col("embedding") if "embedding" in queries.columns else V.hash_embedding(F.coalesce("query", F.lit("")), self.config.dimension)
         return queries.select("query_id", "query", vector.alias("embedding"), F.coalesce(budget.cast("long"), F.lit(self.config.token_budget)).alias("budget")).dropDuplicates(["query_id"])
 
-    def stages(self, queries: DataFrame) -> dict[str, DataFrame]:
-        """The candidates after each stage: query_id, id, score, rank."""
-        c, requests = self.config, self.requests(queries)
-        place = self.spans.select("id", "artifact_id", "start_line")
-        out = {"semantic": retrieval.vector_topk(requests, self.spans, retrieval.SEMANTIC_K, c.dimension)}
-        if c.profile == "pg":
-            more = self.spans.select("id", "text", "start_line", "artifact_id").join(self.paths, "artifact_id", "left")
-            out["mmr"] = selection.mmr_words(out["semantic"].join(more, "id"), c.mmr_lambda) if c.enable_mmr else out["semantic"]
-        else:
-            out["lexical"] = retrieval.lexical_topk(requests, self.spans).withColumn("score", F.lit(None).cast("double"))
+    def stages(self, queries: DataFrame, until: str = "final") -> dict[str, DataFrame]:
+        """The candidates after each stage up to ``until``: query_id, id, score, rank.
+
+        The two retrieval stages scan the corpus; what they find is written once, and so are the rows
+        of the candidate spans, so the later stages handle at most 70 rows a request.
+        """
+        c, requests, pg = self.config, self.requests(queries), self.config.profile == "pg"
+        vectors = self.spans.select("id", "embedding").filter(V.usable(F.col("embedding"), c.dimension)).dropDuplicates(["id"])
+        out = {"semantic": stage(retrieval.vector_topk(requests, vectors, retrieval.SEMANTIC_K, c.dimension), "semantic")}
+        if until in out:
+            return out
+        found = out["semantic"].select("id")
+        if not pg:
+            out["lexical"] = stage(retrieval.lexical_topk(requests, self.spans).withColumn("score", F.lit(None).cast("double")), "lexical")
+            found = found.unionByName(out["lexical"].select("id"))
+        tokens = F.greatest(F.coalesce(F.col("token_count"), F.lit(0)), F.lit(0)).cast("long")
+        held = self.spans.join(found.distinct(), "id", "left_semi").dropDuplicates(["id"]).withColumn("tokens", tokens).drop("token_count")
+        held = stage(held.join(self.paths, "artifact_id", "left").withColumn("path", F.coalesce("path", F.lit("unknown"))), "held")
+        last = out["semantic"]
+        if not pg:
             fused = retrieval.fuse(out["semantic"], out["lexical"], c.semantic_weight, c.lexical_weight)
-            out["hybrid"] = retrieval.ordered(fused.join(place, "id")).select("query_id", "id", "score", "rank")
-            if c.enable_mmr:
-                out["mmr"] = selection.mmr(out["hybrid"].join(self.spans.select("id", "embedding"), "id"), c.mmr_lambda)
-        last = out[list(out)[-1]]
-        ready = last.join(self.spans.select("id", "tokens"), "id").join(requests.select("query_id", "budget"), "query_id")
-        taken = selection.pack_in_order(ready) if c.profile == "pg" else selection.pack(ready)
-        out["packed"] = last.join(taken, ["query_id", "id"]).select("query_id", "id", "score", "rank")
-        full = out["packed"].drop("rank").join(self.spans.drop("embedding"), "id").join(self.paths, "artifact_id", "left").withColumn("path", F.coalesce("path", F.lit("unknown")))
-        out["final"] = context.canonical(full, "path" if c.profile == "pg" else "artifact_id")
+            last = retrieval.ordered(fused.join(held.select("id", "artifact_id", "start_line"), "id")).select("query_id", "id", "score", "rank")
+            out["hybrid"] = last = stage(last, "hybrid")
+        if until in out:
+            return out
+        if c.enable_mmr:
+            pick = selection.mmr_words(last.join(held.select("id", "text", "start_line", "path"), "id"), c.mmr_lambda) if pg else selection.mmr(last.join(held.select("id", "embedding"), "id"), c.mmr_lambda)
+            out["mmr"] = last = stage(pick, "mmr")
+        if until in out:
+            return out
+        ready = last.join(held.select("id", "tokens"), "id").join(requests.select("query_id", "budget"), "query_id")
+        taken = selection.pack_in_order(ready) if pg else selection.pack(ready)
+        out["packed"] = stage(last.join(taken, ["query_id", "id"]).select("query_id", "id", "score", "rank"), "packed")
+        out["final"] = context.canonical(out["packed"].drop("rank").join(held.drop("embedding"), "id"), "path" if pg else "artifact_id")
+        self.held = held
         return out
 
     def compile(self, queries: DataFrame) -> DataFrame:
@@ -71,10 +84,10 @@ class Compiler:
     def explain(self, queries: DataFrame) -> DataFrame:
         """(query_id, stage, rank, id, path, start_line, end_line, score, tokens) of every stage."""
         stages = self.stages(queries)
-        more = self.spans.select("id", "artifact_id", "start_line", "end_line", "tokens").join(self.paths, "artifact_id", "left")
+        more = self.held.select("id", "path", "start_line", "end_line", "tokens")
         out = None
         for name, df in stages.items():
             rank = "citation" if name == "final" else "rank"
             rows = df.select("query_id", F.lit(name).alias("stage"), F.col(rank).cast("int").alias("rank"), "id", F.col("score").cast("double").alias("score"))
             out = rows if out is None else out.unionByName(rows)
-        return out.join(more, "id", "left").select("query_id", "stage", "rank", "id", F.coalesce("path", F.lit("unknown")).alias("path"), "start_line", "end_line", "score", "tokens")
+        return out.join(more, "id").select("query_id", "stage", "rank", "id", "path", "start_line", "end_line", "score", "tokens")

@@ -23,13 +23,16 @@ def mmr_order(scores: np.ndarray, vectors: list, weight: float, cap: int = MMR_C
         size = np.sqrt((x * x).sum(1, keepdims=True))
         x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
         gram[np.ix_(at, at)] = x @ x.T
-    chosen = [0] if n else []
-    left = list(range(1, n))
-    while left and len(chosen) < cap:
-        seen = [j for j in chosen if has[j]]
-        close = gram[np.ix_(left, seen)].max(1) * has[left] if seen else np.zeros(len(left))
-        value = weight * scores[left] - (1 - weight) * close
-        chosen.append(left.pop(int(np.argmax(np.round(value, 12)))))
+    chosen: list[int] = []
+    left = np.ones(n, bool)
+    close = np.full(n, -np.inf)  # greatest cosine to a selected candidate that has a vector
+    while len(chosen) < min(n, cap):
+        value = np.where(left, weight * scores - (1 - weight) * np.where(has & np.isfinite(close), close, 0.0), -np.inf)
+        i = int(np.argmax(np.round(value, 12))) if chosen else 0
+        chosen.append(i)
+        left[i] = False
+        if has[i]:
+            close = np.maximum(close, gram[i])
     return chosen
 
 

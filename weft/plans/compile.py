@@ -57,12 +57,13 @@ class Compiler:
             found = found.unionByName(out["lexical"].select("id"))
         tokens = F.greatest(F.coalesce(F.col("token_count"), F.lit(0)), F.lit(0)).cast("long")
         held = self.spans.join(found.distinct(), "id", "left_semi").dropDuplicates(["id"]).withColumn("tokens", tokens).drop("token_count")
+        held = held.withColumn("embedding", F.when(V.usable(F.col("embedding"), c.dimension), F.col("embedding")))
         held = stage(held.join(self.paths, "artifact_id", "left").withColumn("path", F.coalesce("path", F.lit("unknown"))), "held")
         last = out["semantic"]
         if not pg:
             fused = retrieval.fuse(out["semantic"], out["lexical"], c.semantic_weight, c.lexical_weight)
             last = retrieval.ordered(fused.join(held.select("id", "artifact_id", "start_line"), "id")).select("query_id", "id", "score", "rank")
-            out["hybrid"] = last = stage(last, "hybrid")
+            out["hybrid"] = last = last if c.enable_mmr else stage(last, "hybrid")
         if until in out:
             return out
         if c.enable_mmr:
@@ -72,7 +73,7 @@ class Compiler:
             return out
         ready = last.join(held.select("id", "tokens"), "id").join(requests.select("query_id", "budget"), "query_id")
         taken = selection.pack_in_order(ready) if pg else selection.pack(ready)
-        out["packed"] = stage(last.join(taken, ["query_id", "id"]).select("query_id", "id", "score", "rank"), "packed")
+        out["packed"] = last.join(taken, ["query_id", "id"]).select("query_id", "id", "score", "rank")
         out["final"] = context.canonical(out["packed"].drop("rank").join(held.drop("embedding"), "id"), "path" if pg else "artifact_id")
         self.held = held
         return out

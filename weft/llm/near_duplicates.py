@@ -145,14 +145,15 @@ def _verify(width: int, threshold: float):
 class NearDuplicates:
     """Links between all records of ``records`` (kind, id, text) with shingle similarity >= threshold.
 
-    Kinds are compared apart. Null texts and texts of fewer words than a shingle link to nothing.
+    Kinds are compared apart. Rows with a null kind, id or text and texts of fewer words than a shingle
+    link to nothing.
     Records given twice count once; equal sets form a class. Extra columns are ignored.
     """
 
     def __init__(self, records: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> None:
         records = records.select(
             F.col("kind").cast("string").alias("kind"), F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text")
-        ).filter("id is not null and text is not null")
+        ).filter("kind is not null and id is not null and text is not null")
         shape = "kind string, id string, cid long, n int, bands array<long>, coords binary, print binary"
         self.sketch = stage(records.mapInArrow(_sketch(width, bands, rows), shape), "sketch")
         classes = self.sketch.groupBy("kind", "cid").agg(

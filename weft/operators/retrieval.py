@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from weft.functions import vectors as V
+from weft.runtime import plain_columns
 
 SEMANTIC_K, LEXICAL_K, RRF_K = 50, 20, 60
 #: Queries that one pass over the corpus carries along; more go in several passes.
@@ -60,7 +61,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int, block:
                     best.add(s, f["id"].to_numpy())
             at, ids, scores = best.take()
             if len(at):
-                yield pd.DataFrame({"query_id": [names[i] for i in at], "id": ids, "score": scores})
+                yield pd.DataFrame({"query_id": [names[i] for i in at], "id": ids.astype(object) if ids.dtype.kind == "U" else ids, "score": scores})
 
         parts.append(rows.mapInPandas(run, shape))
     if not parts:
@@ -163,7 +164,7 @@ def lexical_matches(queries: DataFrame, spans: DataFrame, block: int = TEXTS, ca
                                 continue
                         q.append(query_id)
                         s.append(i)
-                yield f.iloc[s][names].assign(query_id=q)[["query_id", *names]]
+                yield plain_columns(f[names]).iloc[s].assign(query_id=np.array(q, object))[["query_id", *names]]
 
         parts.append(spans.filter("text is not null").select(*names, "text").mapInPandas(run, shape))
     if not parts:

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weft.runtime import plain_columns
+
 MMR_CAP, PG_CAP = 30, 20
 
 
@@ -43,7 +45,7 @@ def mmr(candidates: DataFrame, weight: float = 0.5, cap: int = MMR_CAP) -> DataF
     shape = f"query_id {types['query_id']}, id {types['id']}, score double, rank int"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank")
+        frame = plain_columns(frame).sort_values("rank")
         picked = mmr_order(frame["score"].to_numpy(np.float64), frame["embedding"].tolist(), weight, cap)
         out = frame.iloc[picked][["query_id", "id", "score"]]
         return out.assign(rank=np.arange(1, len(out) + 1, dtype=np.int32))
@@ -58,7 +60,7 @@ def mmr_words(candidates: DataFrame, weight: float = 0.5, cap: int = PG_CAP) ->
     shape = f"query_id {types['query_id']}, id {types['id']}, score double, rank int"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank").reset_index(drop=True)
+        frame = plain_columns(frame).sort_values("rank").reset_index(drop=True)
         bags = [set((t or "").split()) for t in frame["text"]]
         left, chosen, keys = list(range(len(frame))), [], set()
         close = np.zeros(len(frame))

@@ -7,6 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
@@ -41,6 +43,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def plain_columns(frame: pd.DataFrame) -> pd.DataFrame:
+    """The frame with text columns as plain objects: columns backed by no or several Arrow chunks, as
+    after filtering or joining batches, can't be returned to Spark."""
+    return frame.astype({c: object for c, t in frame.dtypes.items() if not isinstance(t, np.dtype)})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from weft.llm.encoding import count_tokens
-from weft.runtime import stage
+from weft.runtime import plain_columns, stage
 
 BLOCKS = 100_000
 #: Documents of a source that one task orders and selects from.
@@ -59,14 +59,14 @@ def _sized(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _dealt(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("shard")
+    frame = plain_columns(frame).sort_values("shard")
     frame["quota"] = sainte_lague([float(x) for x in frame["tokens"]], int(frame["blocks"].iloc[0]))
     return frame[["source", "shard", "quota"]]
 
 
 def _select(block: float, seed: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["turn", "doc_id"])
+        frame = plain_columns(frame).sort_values(["turn", "doc_id"])
         tokens = frame["n_tokens"].tolist()
         quota = int(frame["quota"].iloc[0]) * block
         most, all_of = int(frame["max_repeats"].iloc[0]), sum(tokens)

@@ -716,10 +716,10 @@ def term_recall(t):
     return rows.select("query_id", F.round(audit.term_recall(terms, F.coalesce("t", F.lit(""))), 6).alias("term_recall"))
 
 
-@query(CITED + " SELECT *, avg_score < 0.5 AS low_score, sources < 3 AS few_sources FROM (SELECT query_id, count(*) AS spans, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(avg(score), 6) AS avg_score, count(DISTINCT path) AS sources FROM cited GROUP BY 1)")
+@query(CITED + " SELECT *, avg_score < 0.5 AS low_score, sources < 3 AS few_sources FROM (SELECT query_id, count(*) AS spans, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(avg(score), 9) AS avg_score, count(DISTINCT path) AS sources FROM cited GROUP BY 1)")
 def context_quality(t):
     out = audit.context_quality(cited_of(t))
-    return out.select("query_id", "spans", *(F.round(c, 6).alias(c) for c in ("min_score", "max_score", "avg_score")), "sources", "low_score", "few_sources")
+    return out.select("query_id", "spans", *(F.round(c, 6).alias(c) for c in ("min_score", "max_score")), "avg_score", "sources", "low_score", "few_sources")
 
 
 # ---- adapters -------------------------------------------------------------------------------------
@@ -727,10 +727,10 @@ _MERGED = CITED + """, fl AS (SELECT *, CASE WHEN path = lag(path) OVER w AND st
 il AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id ORDER BY citation) AS island FROM fl)"""
 
 
-@query(_MERGED + " SELECT query_id, CAST(island AS BIGINT) AS island, any_value(path) AS source, count(*) AS span_count, CAST(sum(tokens) AS BIGINT) AS token_count, round(avg(score), 6) AS avg_score, round(max(score), 6) AS max_score, sha256(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY citation)) AS text_hash FROM il GROUP BY 1, 2")
+@query(_MERGED + " SELECT query_id, CAST(island AS BIGINT) AS island, any_value(path) AS source, count(*) AS span_count, CAST(sum(tokens) AS BIGINT) AS token_count, round(avg(score), 9) AS avg_score, round(max(score), 6) AS max_score, sha256(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY citation)) AS text_hash FROM il GROUP BY 1, 2")
 def merge_adjacent(t):
     m = adapters.merge_adjacent(cited_of(t))
-    return m.select("query_id", "island", "source", "span_count", "token_count", F.round("avg_score", 6).alias("avg_score"), F.round("max_score", 6).alias("max_score"), F.sha2("text", 256).alias("text_hash"))
+    return m.select("query_id", "island", "source", "span_count", "token_count", "avg_score", F.round("max_score", 6).alias("max_score"), F.sha2("text", 256).alias("text_hash"))
 
 
 @query(CITED + " SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path, start_line, end_line ORDER BY citation) AS n FROM cited) WHERE n = 1")

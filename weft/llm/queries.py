@@ -130,5 +130,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+_BLANK = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
+_MARK = "CASE WHEN speaker IN ('user', 'assistant') THEN speaker END"
+_PAST = "OVER (PARTITION BY session_id ORDER BY turn_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+SQL = {
+    "p1_found": """WITH rec AS (SELECT DISTINCT 'span' AS kind, id, text FROM spans WHERE text IS NOT NULL UNION SELECT DISTINCT 'artifact', id, content FROM artifacts WHERE content IS NOT NULL),
+w AS (SELECT kind, id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM rec),
+s AS (SELECT kind, id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
+t AS (SELECT kind, id, len(s) AS n, unnest(s) AS t FROM s)
+SELECT kind, id_a, id_b FROM (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS c, any_value(a.n + b.n) AS n FROM t a JOIN t b ON a.kind = b.kind AND a.t = b.t AND a.id < b.id GROUP BY ALL) WHERE 10 * c >= 7 * (n - c)""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3"),
+    "p2_found": """WITH v AS (SELECT DISTINCT id, model, CAST(embedding AS DOUBLE[]) AS v FROM spans WHERE model IS NOT NULL AND len(embedding) = 64 AND NOT coalesce(list_contains(list_transform(embedding, lambda x: isfinite(x)), false), false) AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.model = b.model AND a.id <> b.id),
+r AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM c WHERE s >= 0.9) WHERE k <= 5)
+SELECT x.a AS span_a, x.b AS span_b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
+    "p3_found": rf"""WITH m AS (SELECT DISTINCT * FROM messages WHERE id IS NOT NULL AND session_id IN (SELECT id FROM sessions)),
+r AS (SELECT m.*, a.role AS speaker FROM m LEFT JOIN role_aliases a ON a.alias = lower(regexp_replace(m.role, '^{_BLANK}+|{_BLANK}+$', '', 'g'))),
+d AS (SELECT *, CASE WHEN sequence_number IS NOT NULL AND content IS NOT NULL AND role IS NOT NULL THEN row_number() OVER (PARTITION BY session_id, sequence_number, coalesce(speaker, '?' || role), content ORDER BY created_at NULLS LAST, id) ELSE 1 END AS copy FROM r),
+k AS (SELECT *, bool_or(sequence_number IS NULL) OVER (PARTITION BY session_id) AS unnumbered FROM d WHERE copy = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN NOT unnumbered THEN sequence_number END NULLS LAST, CASE WHEN unnumbered THEN created_at END NULLS LAST, id) - 1 AS turn_no FROM k),
+x AS (SELECT *, last_value({_MARK} IGNORE NULLS) {_PAST} AS before, max(CASE WHEN speaker <> 'system' THEN 1 END) {_PAST} AS spoken FROM o),
+bad AS (SELECT session_id FROM x GROUP BY 1 HAVING bool_or(speaker IS NULL) OR bool_or(content IS NULL OR regexp_matches(content, '^{_BLANK}*$'))
+ OR (NOT bool_or(unnumbered) AND (count(DISTINCT sequence_number) < count(*) OR max(sequence_number) - min(sequence_number) + 1 > count(*) OR min(sequence_number) NOT IN (0, 1)))
+ OR NOT coalesce(bool_or(speaker <> 'system'), false) OR bool_or(speaker <> 'system' AND spoken IS NULL AND speaker <> 'user') OR bool_or(speaker = 'user' AND coalesce(before, '') = 'user')
+ OR coalesce(max_by(speaker, turn_no) FILTER (speaker IN ('user', 'assistant')) <> 'assistant', true))
+SELECT session_id, turn_no, id AS message_id FROM x WHERE session_id NOT IN (SELECT session_id FROM bad)""",
+    "p4_found": """SELECT DISTINCT 'artifact' AS kind, id AS item_id FROM artifacts WHERE length(content) > 12000 UNION ALL
+SELECT DISTINCT 'span', id FROM spans WHERE length(text) > 2000 OR length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END > 40""",
+    "p5_found": """SELECT DISTINCT r.request_id, r.span_id FROM request_spans r JOIN compile_requests q ON q.id = r.request_id JOIN spans s ON s.id = r.span_id WHERE s.token_count > coalesce(q.token_budget, 8000) AND s.token_count > 0""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -86,6 +86,7 @@ SENTENCES = {
     "قال د. مروبي: «يقص القائمة». لماذا يغلق؟ يعد 3.14 من النسخة!": 3,
     "คิวนับสำเนา14ครั้ง ทำไมคิวจึงย้าย บันทึกย้าย": 3,
     "# Head 1.2\nText one. Text two.\n\n```\na. B. C.\n\nd\n```\n- item one. More.\n2. item": 7,
+    "No. 5 is alive. No. It is not.": 3,
     "A line\nthat wraps. Another\nline": 2,
     "no end\n\nnext": 2,
     "": 0,

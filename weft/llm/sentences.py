@@ -223,6 +223,8 @@ def _ends(text: str, begin: int, marks: str, at: int, closed: int, end: int) ->
             if low in MONTHS and word[:1].isdigit():
                 return ""
             return "" if small and not named or word[:1].isdigit() and low not in ("etc", "al", "a.m", "p.m", "inc", "corp", "co", "ltd", "bros") else "sure"
+        if low == "no" and word[:1].isupper():  # the answer, not the number
+            return "sure"
         if low in BEFORE_ANY:
             return ""
         if len(before) == 1 and before.isalpha() and (before.isupper() or regex.match(r"\p{L}\.", shown)):  # an initial, parts of an abbreviation

@@ -73,6 +73,25 @@ def test_large_class_comes_out_as_a_star(found, rows):
     assert stars == {("span", "copy00", f"copy{i:02}") for i in range(1, 12)}
 
 
+def test_large_classes_come_out_in_full(spark):
+    # Above the former limit of 1,000 members: equal words in different writing, and records of a linked class.
+    rows = [("span", f"c{i:04}", "one two three four five six seven eight nine ten eleven" + "." * i, 0, 0, 0) for i in range(1001)]
+    rows += [("span", f"l{i}", "one two three four five six seven eight nine ten twelve", 0, 0, 0) for i in range(2)]
+    found = N.NearDuplicates(spark.createDataFrame(rows, SHAPE), width=3, threshold=0.7)
+    assert found.pairs().count() == found.pairs(expand=1000).count() == 1003 * 1002 // 2
+
+
+def test_star_holds_equal_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 3)
+    rows = [("span", f"{'ab'[i % 2]}{i:02}", "The same words again!" + "!" * (i % 2), 0, 0, 0) for i in range(20)]
+    rows += [("span", "c", "the same words again", 0, 0, 0)]
+    found = N.NearDuplicates(spark.createDataFrame(rows, SHAPE), width=3, threshold=0.7)
+    every = brute(rows)
+    assert {tuple(r) for r in found.pairs().collect()} == every
+    star = {p for p in every if p[1][0] != p[2][0] or p[1] in ("a00", "b01")}
+    assert {tuple(r) for r in found.pairs(expand=5).collect()} == star
+
+
 def test_groups_hold_every_record_and_count_links(found, rows):
     pairs = brute([r for r in rows if r[0]])
     degree = {}

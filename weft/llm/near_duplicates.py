@@ -30,7 +30,8 @@ from weft.runtime import stage
 
 BITS, BLOCKS, PIVOTS = 1024, 16, 5
 BANDS, ROWS = 28, 3
-EXPAND = 1000
+#: Members of a class are compared in blocks of about this many, so no task writes all pairs of a large one.
+BLOCK = 1000
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 # The first pivot is the empty fingerprint; the others are fixed pseudo-random ones.
@@ -61,12 +62,13 @@ def _sketch(width: int, bands: int, rows: int):
         minhash = MinHash(bands, rows)
         for batch in batches:
             kinds, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets, kept = [], []
+            sets, kept, texts = [], [], []
             for i, text in enumerate(batch.column(2)):
                 s = shingles(text.as_py(), width)
                 if len(s):
                     sets.append(s)
                     kept.append(i)
+                    texts.append(hash_of(text.as_py()))
             if not kept:
                 continue
             keys = np.concatenate([minhash.keys(sets[i:j]) for i, j in grouped(sets)])
@@ -80,21 +82,22 @@ def _sketch(width: int, bands: int, rows: int):
                     pa.array([kinds[k] for k in kept], pa.string()),
                     pa.array([ids[k] for k in kept], pa.string()),
                     pa.array([digest(s) for s in sets], pa.int64()),
+                    pa.array(texts, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.ListArray.from_arrays(np.arange(len(kept) + 1, dtype=np.int32) * bands, pa.array(keys.reshape(-1))),
                     pa.array([x.tobytes() for x in table], pa.binary()),
                     pa.array([x.tobytes() for x in prints], pa.binary()),
                 ],
-                ["kind", "id", "cid", "n", "bands", "coords", "print"],
+                ["kind", "id", "cid", "text_id", "n", "bands", "coords", "print"],
             )
 
     return run
 
 
-def hash_of(kind: str) -> np.int64:
+def hash_of(text: str) -> np.int64:
     import xxhash
 
-    return np.array(xxhash.xxh3_64_intdigest(kind.encode()), np.uint64).view(np.int64)[()]
+    return np.array(xxhash.xxh3_64_intdigest(text.encode()), np.uint64).view(np.int64)[()]
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -154,7 +157,7 @@ class NearDuplicates:
         records = records.select(
             F.col("kind").cast("string").alias("kind"), F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text")
         ).filter("kind is not null and id is not null and text is not null")
-        shape = "kind string, id string, cid long, n int, bands array<long>, coords binary, print binary"
+        shape = "kind string, id string, cid long, text_id long, n int, bands array<long>, coords binary, print binary"
         self.sketch = stage(records.mapInArrow(_sketch(width, bands, rows), shape), "sketch")
         classes = self.sketch.groupBy("kind", "cid").agg(
             F.min("id").alias("rep"), F.first("n").alias("n"), F.first("coords").alias("coords"), F.first("print").alias("print")
@@ -177,24 +180,35 @@ class NearDuplicates:
         """(kind, id, cid) of all records that have shingles."""
         return self.sketch.select("kind", "id", "cid").distinct()
 
-    def pairs(self, expand: int = EXPAND) -> DataFrame:
-        """(kind, id_a, id_b), id_a < id_b, of similar records.
+    def pairs(self, expand: int | None = None) -> DataFrame:
+        """(kind, id_a, id_b), id_a < id_b, of all similar records.
 
-        A class of up to ``expand`` members comes out in full. A larger class is stood for by its
-        least id, and each member is paired with that; so no link is lost and no pairs of a huge
-        group are written out.
+        With ``expand``, the records of one text (equal in every byte) that are more than that many are
+        paired among themselves only with their least id. Records of different texts always come out as
+        pairs, and without ``expand`` those of equal ones do too.
         """
         members = self.members()
-        sizes = members.groupBy("kind", "cid").agg(F.count("*").alias("size"), F.min("id").alias("rep"))
-        members = members.join(sizes, ["kind", "cid"])
-        shown = members.filter((F.col("size") <= expand) | (F.col("id") == F.col("rep"))).select("kind", "cid", "id")
-        a, b = (shown.select("kind", F.col("cid").alias(f"cid_{s}"), F.col("id").alias(s)) for s in "ab")
-        across = self.links.join(a, ["kind", "cid_a"]).join(b, ["kind", "cid_b"]).select("kind", "a", "b")
-        several = members.filter(f"size > 1 and size <= {expand}").select("kind", "cid", "id")
-        within = several.select("kind", "cid", F.col("id").alias("a")).join(several.select("kind", "cid", F.col("id").alias("b")), ["kind", "cid"])
-        star = members.filter(f"size > {expand} and id <> rep").select("kind", F.col("rep").alias("a"), F.col("id").alias("b"))
-        out = across.unionByName(within.filter("a < b").select("kind", "a", "b")).unionByName(star).filter("a <> b")
-        return out.select("kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+        sizes = members.groupBy("kind", "cid").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+        same = sizes.filter("size > 1").select("kind", F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"), F.col("blocks").alias("blocks_a"), F.col("blocks").alias("blocks_b"))
+        links = self.links.select("kind", "cid_a", "cid_b")
+        for s in "ab":
+            links = links.join(sizes.select("kind", F.col("cid").alias(f"cid_{s}"), F.col("blocks").alias(f"blocks_{s}")), ["kind", f"cid_{s}"])
+        meet = links.unionByName(same)
+        for s in "ab":
+            meet = meet.withColumn(f"block_{s}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"blocks_{s}") - 1)))
+        meet = meet.drop("blocks_a", "blocks_b").filter("cid_a <> cid_b or block_a <= block_b")
+        members = members.join(sizes, ["kind", "cid"]).select("kind", "cid", "id", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+        a, b = (meet.join(members.select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "block", "id"))), ["kind", f"cid_{s}", f"block_{s}"]) for s in "ab")
+        out = a.join(b, ["kind", "cid_a", "cid_b", "block_a", "block_b"]).filter("id_a <> id_b and (cid_a <> cid_b or block_a < block_b or id_a < id_b)")
+        out = out.select("kind", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+        if expand is None:
+            return out
+        copies = self.sketch.select("kind", "text_id", "id").distinct()
+        large = copies.groupBy("kind", "text_id").agg(F.count("*").alias("size"), F.min("id").alias("rep")).filter(F.col("size") > expand)
+        copies = copies.join(large, ["kind", "text_id"]).filter("id <> rep")
+        for s in "ab":
+            out = out.join(copies.select("kind", F.col("id").alias(f"id_{s}"), F.col("text_id").alias(f"text_{s}")), ["kind", f"id_{s}"], "left")
+        return out.filter("not coalesce(text_a = text_b, false)").select("kind", "id_a", "id_b").distinct()
 
     def groups(self) -> DataFrame:
         """(kind, id, class_id, group_id, n_links) of every record that has shingles.

@@ -34,6 +34,31 @@ def test_overlap_and_topic_boundary():
     assert pieces[0][3] == 27 and pieces[1][2] == 26  # cut where the words change, two lines again
 
 
+def overlaps(text, limits):
+    """Every two consecutive pieces share two whole lines, or the characters asked for."""
+    pieces = check(text, limits)
+    few = min(limits.overlap_chars, limits.max_chars // 4)
+    for (a0, b0, *_), (a, b, *_) in zip(pieces, pieces[1:]):
+        assert a0 < a and b0 < b
+        lines = (a == 0 or text[a - 1] == "\n") and text[b0 - 1] == "\n" and text.count("\n", a, b0) >= limits.overlap_lines
+        assert lines or b0 - a >= few, (a0, b0, a, b)
+    return pieces
+
+
+def test_every_two_pieces_overlap():
+    two = "\n".join(["word " * 300, "term " * 300])
+    assert [b - a for (_, b, *_), (a, *_) in zip(overlaps(two, S.SPAN), S.split_text(two, S.SPAN)[1:])] == [200]
+    overlaps("\n".join(["short line", "word " * 900, "short line", "another", "word " * 398, "end " * 40]), S.SPAN)
+    overlaps("\n".join(["x" * 1999] * 5), S.SPAN)
+    rng = random.Random(8)
+    for _ in range(300):
+        sizes = rng.choice([[0, 8, 40, 300], [3, 150, 1500, 1900], [1, 60, 1100, 2100, 5000]])
+        text = "\n".join("".join(rng.choice("ab. ") for _ in range(rng.choice(sizes) + rng.randrange(9))) for _ in range(rng.randrange(1, 70)))
+        for limits in (S.SPAN, S.Limits(700), S.ARTIFACT):
+            if len(text) > 1:
+                overlaps(text, limits)
+
+
 def test_split_items_edge_cases(spark):
     shape = "kind string, item_id string, text string, from_line int, piece_no int"
     rows = [("span", "a", None, 1, 0), ("span", "b", "", 1, 0), ("span", "c", "x\n" * 40, None, 0), ("span", "d", "x\n" * 41, 7, 0), ("span", "d", "x\n" * 41, 7, 0), ("span", None, "y" * 3000, 1, 0), ("span", "e", "y" * 2000, -4, 0), ("span", "f", "\U0001f600" * 2001, -4, 0)]

@@ -3,8 +3,9 @@
 Words are counted in sliding blocks of lines on either side of each gap between lines; the cosine of the
 two blocks is the gap's cohesion, and the depth of a valley of cohesion marks a change of topic. Each
 piece grows to its size window and is cut at the window's deepest valley (blank lines and headings
-deepen it). The next piece begins ``overlap_lines`` lines before the cut. A line that alone exceeds the
-limit is cut inside, at the end of a sentence or clause, at a blank or, failing these, between two
+deepen it). The next piece begins ``overlap_lines`` lines before the cut or, where they do not fit,
+``overlap_chars`` characters before it. A line that exceeds the limit, alone or with the overlap before
+it, is cut inside, at the end of a sentence or clause, at a blank or, failing these, between two
 characters, with ``overlap_chars`` of overlap.
 """
 
@@ -104,6 +105,24 @@ def _cut_line(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
+def _begin(starts: np.ndarray, done: int, back: int, room: int, few: int, last: int) -> int:
+    """Where the piece that goes on with line ``done`` begins; ``last`` is where the piece before began.
+
+    The lines from ``back`` are repeated if they fit into ``room``, else the line before, if it fits and
+    has at least ``few`` characters, else ``few`` characters. A piece that would hold all of the piece
+    before takes its place and begins at ``last``.
+    """
+    at = int(starts[done])
+    if back < done:
+        whole, line = int(starts[back]), int(starts[done - 1])
+        if at - whole <= room:
+            return max(whole, last)
+        if few <= at - line <= room and line > last:
+            return line
+        return at - min(few, room)
+    return at
+
+
 def split_text(text: str, limits: Limits) -> list[tuple[int, int, int, int]]:
     """(start, end, first line, last line) of each piece: code points, end exclusive; lines from 1.
 
@@ -120,28 +139,30 @@ def split_text(text: str, limits: Limits) -> list[tuple[int, int, int, int]]:
     if len(text) <= size and len(lines) <= most_lines:
         return [(0, len(text), 1, len(lines))] if text else []
     valley = depths(cohesion(lines, limits.block))
+    few = min(limits.overlap_chars, size // 4)
     out: list[tuple[int, int, int, int]] = []
-    first = 0  # line the next piece begins with
     done = 0  # lines before it are covered
     while done < len(lines):
-        if ends[done] - starts[done] > size:
-            for a, b in _cut_line(text[starts[done] : ends[done]], size, min(limits.overlap_chars, size // 4)):
-                out.append((int(starts[done] + a), int(starts[done] + b), done + 1, done + 1))
-            done = first = done + 1
+        back = max(done - min(limits.overlap_lines, most_lines - 1), 0)
+        before, here = int(starts[done] - starts[back]), int(ends[done] - starts[done])
+        long = here + min(before, few) > size
+        begin = _begin(starts, done, back, size // 4 if long else size - here, few, out[-1][0] if out else -1)
+        if out and begin == out[-1][0]:
+            out.pop()
+        first = int(np.searchsorted(starts, begin, "right")) - 1
+        if long:
+            for a, b in _cut_line(text[begin : ends[done]], size, few):
+                out.append((begin + a, begin + b, int(np.searchsorted(starts, begin + a, "right")), done + 1))
+            done += 1
             continue
-        while first < done and (ends[done] - starts[first] > size or done - first + 1 > most_lines):
-            first += 1  # the overlap gives way where the next line would not fit
-        stop = min(int(np.searchsorted(ends, starts[first] + size, "right")), first + most_lines, len(lines))
+        stop = min(int(np.searchsorted(ends, begin + size, "right")), first + most_lines, len(lines))
         cut = stop
-        if stop < len(lines):
-            low = max(done + 1, first + int((stop - first) * limits.least_fill))
+        if stop < len(lines):  # a piece has a line more than the overlap after it, if that fits
+            low = max(done + 1, min(stop, first + limits.overlap_lines + 1), first + int((stop - first) * limits.least_fill))
             scores = [valley[g] + _bonus(lines[g - 1], lines[g]) + 1e-6 * g for g in range(low, stop + 1)]
             cut = low + int(np.argmax(scores))
-        out.append((int(starts[first]), int(ends[cut - 1]), first + 1, cut))
+        out.append((begin, int(ends[cut - 1]), first + 1, cut))
         done = cut
-        first = max(first + 1, cut - limits.overlap_lines)
-        while first < done and ends[first] - starts[first] > size:
-            first += 1
     return out
 
 

@@ -251,3 +251,20 @@ def test_flagship_is_stable_under_partitioning(spark):
     asked = read("compile_requests").select(F.col("id").alias("query_id"), "query", F.col("token_budget").alias("budget"))
     runs = [{tuple(r) for r in Compiler(read("spans").repartition(n), read("artifacts")).compile(asked).select("query_id", "context_hash").collect()} for n in (1, 13)]
     assert runs[0] == runs[1]
+
+
+def test_searches_compile_to_their_own_budget(spark):
+    from weft.plans.compile import Compiler, Config
+
+    spans = [(f"s{i:02}", f"a{i % 3}", i, i, f"word{i} merge", [float(i + 1), 1.0, 0.5 * (i % 4)], 900) for i in range(30)]
+    shape = "id string, artifact_id string, start_line int, end_line int, text string, embedding array<float>, token_count int"
+    asked = spark.createDataFrame([("q", "merge", [1.0, 1.0, 1.0], 10), ("r", "word3", [9.0, 1.0, 0.0], None)], "query_id string, query string, embedding array<float>, budget long")
+    paths = spark.createDataFrame([(f"a{i}", f"p{i}") for i in range(3)], "id string, path string")
+    config = Config(dimension=3, enable_mmr=False)
+    compiler = Compiler(spark.createDataFrame(spans, shape), paths, config)
+    first = lambda df: sorted(tuple(r) for r in df.select("query_id", "id", "citation").collect())
+    for found, budget, mmr in ((compiler.similarity_search(asked, 3), 6000, False), (compiler.mmr_search(asked, 3, 8), 8000, True)):
+        whole = Compiler(spark.createDataFrame(spans, shape), paths, Config(dimension=3, enable_mmr=mmr))
+        want = whole.stages(asked.withColumn("budget", F.lit(budget)))["final"].filter("citation <= 3")
+        assert first(found) == first(want) and len(first(found)) == 6
+    assert compiler.config == config

@@ -743,6 +743,21 @@ def similarity_search(t):
     return cited_of(t).filter("citation <= 5").select("query_id", "id", "citation")
 
 
+@query(_COMPILED.replace(" q.budget, CAST(row_number()", " CAST(10000 AS BIGINT) AS budget, CAST(row_number()") + " SELECT query_id, id, CAST(citation AS INT) AS citation FROM cited WHERE citation <= 5")
+def similarity_search_compiled(t):
+    return compiler_of(t, enable_mmr=False).similarity_search(requests_of(t), 5).select("query_id", "id", F.col("citation").cast("int").alias("citation"))
+
+
+@query()
+def similarity_search_mmr(t):
+    return compiler_of(t).similarity_search(requests_of(t), 5).select("query_id", "id", F.col("citation").cast("int").alias("citation"))
+
+
+@query()
+def mmr_search(t):
+    return compiler_of(t).mmr_search(requests_of(t), 5).select("query_id", "id", F.col("citation").cast("int").alias("citation"))
+
+
 _CL = "path || ':' || start_line || '-' || end_line"
 
 

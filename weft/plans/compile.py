@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from copy import copy
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -82,6 +83,20 @@ class Compiler:
         """One working set a request."""
         return context.working_sets(self.stages(queries)["final"], self.requests(queries), self.config.profile == "pg")
 
+    def similarity_search(self, queries: DataFrame, k: int = 4) -> DataFrame:
+        """The first ``k`` citations in canonical order of each request's compilation to 2,000 * k tokens;
+        its own budget does not count."""
+        return self._first(queries, k, token_budget=2000 * k)
+
+    def mmr_search(self, queries: DataFrame, k: int = 4, fetch_k: int = 20, weight: float = 0.5) -> DataFrame:
+        """The same with MMR, compiled to 1,000 * fetch_k tokens."""
+        return self._first(queries, k, token_budget=1000 * fetch_k, enable_mmr=True, mmr_lambda=weight)
+
+    def _first(self, queries: DataFrame, k: int, **options) -> DataFrame:
+        other = copy(self)
+        other.config = replace(self.config, **options)
+        return other.stages(queries.drop("budget"))["final"].filter(F.col("citation") <= k)
+
     def explain(self, queries: DataFrame) -> DataFrame:
         """(query_id, stage, rank, id, path, start_line, end_line, score, tokens) of every stage."""
         stages = self.stages(queries)

@@ -119,3 +119,12 @@ def test_find_sentences_rows(spark):
     got = sorted(tuple(r) for r in S.find_sentences(spark.createDataFrame(rows, shape)).collect())
     assert got == [(1, 0, 4), (1, 5, 9)]
     assert S.find_sentences(spark.createDataFrame([], shape)).count() == 0
+
+
+def test_brackets_nest_to_any_depth():
+    from weft.llm.sentences import sentences
+
+    for a, b in ("()", "«»", "「」"):
+        for n in (2, 3, 9):
+            text = f"He said {a * n}deep{b * (n - 1)} Still inside. Not out yet{b} and here. Then more."
+            assert [text[x:y] for x, y in sentences(text)] == [text[:-11], "Then more."], (a, n)

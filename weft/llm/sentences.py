@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,8 @@ _SPECIAL = re.compile(r"\s*(?:<\|?[^<>\s]{1,20}\|?>|\[[A-Z]{2,5}\]|[^\w\s\"“
 
 # ---- the transducer -------------------------------------------------------------------------------
 _SIZES = {"b": 3, "q": 2, "d": 2, "s": 2, "g": 3, "c": 3}
+#: Marks that nest; pairs deeper than the table's levels are counted outside it.
+_NESTING = "bgcd"
 #: How the unit began: nothing yet, with an opening mark, with text.
 FRESH, LEAD, PLAIN = range(3)
 _STATES = [(*levels, mode) for levels in itertools.product(*(range(n) for n in _SIZES.values())) for mode in (FRESH, LEAD, PLAIN)]
@@ -314,6 +316,26 @@ def events(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
                 last = closed
 
 
+def _within(found: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The events of a block without the pairs of marks nested deeper than the transducer counts.
+
+    They change none of its decisions: what lies between them is inside anyway. Straight and single
+    quotes do not nest; a second one in a row is not counted.
+    """
+    depth, over = dict.fromkeys(_NESTING, 0), dict.fromkeys(_NESTING, 0)
+    for symbol, at in found:
+        name, _, kind = SYMBOLS[symbol].partition(":")
+        if kind in depth:
+            if name == "close" and over[kind]:
+                over[kind] -= 1
+                continue
+            if name != "close" and depth[kind] == _SIZES[kind] - 1:
+                over[kind] += 1
+                continue
+            depth[kind] = max(0, depth[kind] + (-1 if name == "close" else 1))
+        yield symbol, at
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of the units of a text, code points, without outer white space."""
     symbols: list[int] = []
@@ -321,7 +343,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     for start, body, end in blocks(text):
         symbols.append(_CODE["block"])
         cuts.append(start)
-        for symbol, at in events(text, body, end) if body < end else ():
+        for symbol, at in _within(events(text, body, end)) if body < end else ():
             symbols.append(symbol)
             cuts.append(at)
         symbols.append(_CODE["block"])

@@ -268,3 +268,10 @@ def test_searches_compile_to_their_own_budget(spark):
         want = whole.stages(asked.withColumn("budget", F.lit(budget)))["final"].filter("citation <= 3")
         assert first(found) == first(want) and len(first(found)) == 6
     assert compiler.config == config
+
+
+def test_history_keeps_long_role_names(spark):
+    row = [("m", "s", "r" + "X" * 1500, "hello", 1, None)]
+    shape = "id string, session_id string, role string, content string, sequence_number int, created_at timestamp"
+    got = sessions.conversation_history(spark.createDataFrame(row, shape)).first().history
+    assert got == "R" + "x" * 1500 + ": hello"

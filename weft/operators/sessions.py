@@ -58,7 +58,7 @@ def conversation_history(messages: DataFrame, most: int | None = None, upper: bo
     role in capitals and the line trimmed. A limit in tokens keeps the newest messages."""
     rows = numbered(messages) if most is None else history_window(messages, most)
     role = F.coalesce(F.trim(F.lower("role")), F.lit("unknown"))
-    name = F.upper(role) if upper else F.concat(F.upper(F.left(role, F.lit(1))), F.substring(role, 2, 1000))
+    name = F.upper(role) if upper else F.concat(F.upper(F.left(role, F.lit(1))), F.substr(role, F.lit(2)))
     line = F.concat(name, F.lit(": "), F.coalesce("content", F.lit("")))
     return _joined(rows, F.trim(line) if upper else line, "history")
 

@@ -1,11 +1,10 @@
-"""Deduplicating new batches against all history with an appendable segment index.
-
-A content is written as a string of MinHash symbols over its shingles and cut into a fixed number of
-segments; the index holds (position, segment) keys with the length of the content. A batch probes its
-own segments only, so history is never read in full again. Jaccard similarity s or more of two shingle
-sets is the same as an edit distance (insertions and deletions between the sorted shingle sequences) of
-at most (1 - s) / (1 + s) times their total length; candidates of compatible length are verified by that
-bounded distance exactly. Digests and paths are indexed as plain keys. Accepted records are appended.
+"""Deduplicating new batches against all history with an appendable index of MinHash band keys.
+
+The shingles of a content give 28 keys, each of three MinHash symbols and the number of its band
+(``segments`` below); the index holds the keys with the number of shingles. A batch probes its own keys
+only, so history is never read in full again. Candidates of compatible length are verified by the exact
+Jaccard similarity of their shingle sets; a pair at the threshold 0.7 shares no key with a chance below
+1e-5. Digests and paths are indexed as plain keys. Accepted records are appended.
 
 The turn of each item is respected without a loop over items: an item is a case as soon as an accepted
 earlier record matches it, and is accepted as soon as no earlier undecided one does. Matches run through

@@ -38,7 +38,7 @@ def rows():
 def test_mutual_pairs_match_brute_force(spark, rows):
     truth = {a: [b for b, s in n if s >= 0.9] for a, n in brute(rows, 5, 16).items()}
     want = {(a, b) for a in truth for b in truth[a] if a < b and a in truth[b]}
-    ranked = V.similar_vectors(spark.createDataFrame(rows, SHAPE), 5, dim=16, least=0.9, hashes=2, tables=8, probes=4)
+    ranked = V.similar_vectors(spark.createDataFrame(rows, SHAPE), 5, dim=16, least=0.9, tables=8, probes=4, growth=1 / 3)
     got = {tuple(r) for r in V.mutual_pairs(ranked).collect()}
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 50
 
@@ -57,17 +57,17 @@ def test_recall_of_the_ranking(spark, rows):
 
 def test_split_cells_give_the_same(spark, rows, monkeypatch):
     df = spark.createDataFrame(rows, SHAPE)
-    plain = {tuple(r) for r in V.mutual_pairs(V.similar_vectors(df, 5, dim=16, least=0.9, hashes=1, tables=4)).collect()}
+    plain = {tuple(r) for r in V.mutual_pairs(V.similar_vectors(df, 5, dim=16, least=0.9, tables=4)).collect()}
     monkeypatch.setattr(V, "CELL", 4)
-    split = {tuple(r) for r in V.mutual_pairs(V.similar_vectors(df, 5, dim=16, least=0.9, hashes=1, tables=4)).collect()}
+    split = {tuple(r) for r in V.mutual_pairs(V.similar_vectors(df, 5, dim=16, least=0.9, tables=4)).collect()}
     monkeypatch.setattr(V, "FEW", 0)
-    joined = {tuple(r) for r in V.mutual_pairs(V.similar_vectors(df, 5, dim=16, least=0.9, hashes=1, tables=4)).collect()}
+    joined = {tuple(r) for r in V.mutual_pairs(V.similar_vectors(df, 5, dim=16, least=0.9, tables=4)).collect()}
     assert plain == split == joined
 
 
 def test_equal_vectors_tie_by_id(spark):
     rows = [(f"e{i}", "m", [1.0] + [0.0] * 15, 0, 0, False, 0) for i in range(9)]
-    ranked = V.similar_vectors(spark.createDataFrame(rows, SHAPE), 3, dim=16, hashes=1, tables=2)
+    ranked = V.similar_vectors(spark.createDataFrame(rows, SHAPE), 3, dim=16, tables=2)
     got = {(r.a, r.rank): r.b for r in ranked.collect()}
     assert [got[("e0", k)] for k in (1, 2, 3)] == ["e1", "e2", "e3"] and [got[("e8", k)] for k in (1, 2, 3)] == ["e0", "e1", "e2"]
 
@@ -76,6 +76,35 @@ def test_empty(spark):
     assert V.similar_vectors(spark.createDataFrame([], SHAPE), 5, dim=16).count() == 0
 
 
-def test_rotation_keeps_lengths():
-    x = np.random.default_rng(0).normal(size=(5, 64))
-    assert np.allclose(np.linalg.norm(V._hadamard(x), axis=1), np.linalg.norm(x, axis=1))
+def test_fast_transform_is_the_hadamard_matrix():
+    for d in (1, 2, 4, 16, 32, 64, 128):
+        h = np.ones((1, 1))
+        while len(h) < d:
+            h = np.block([[h, h], [h, -h]])
+        x = np.random.default_rng(0).normal(size=(5, 3, d)).astype(np.float32)
+        assert np.allclose(V.hadamard(x), x @ h / np.sqrt(d), atol=1e-5)
+
+
+def test_cells_stay_small_and_probes_grow_slower_than_the_collection():
+    index = V.CrossPolytope(64, 8, 256, 0.5)
+    for n in (100, 10_000, 10**6, 10**9):
+        bits = V.key_bits(n)
+        assert sum(index.parts(bits)) == bits and n / 2**bits <= 2 * V.FILL
+    share = [index.n_probes(V.key_bits(n)) / 2 ** V.key_bits(n) for n in (10**4, 10**6, 10**8)]
+    assert share[0] > 5 * share[1] > 25 * share[2]
+
+
+def test_half_precision_error_is_within_its_bound():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64)) * 10.0 ** rng.integers(-3, 3, (4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    h = x.astype(np.float16).astype(np.float32)
+    assert np.abs((h @ h.T) - x @ x.T).max() < V.ROUNDING
+
+
+def test_many_equal_vectors_give_a_row_a_neighbour(spark):
+    rows = [(f"e{i:05}", "m", [1.0] + [0.5] * 15, 0, 0, False, 0) for i in range(6000)] + [("z", "m", [1.0, 0.4] + [0.5] * 14, 0, 0, False, 0)]
+    ranked = V.similar_vectors(spark.createDataFrame(rows, SHAPE), 3, dim=16, tables=2)
+    assert ranked.count() == 3 * 6001
+    got = {r.b for r in ranked.filter("a = 'z'").collect()}
+    assert got == {"e00000", "e00001", "e00002"}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from weft.runtime import table, tune
 
@@ -36,21 +36,49 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from weft.llm.vectors import mutual_pairs
 
     tune(spark)
-    ranked = _similar(table(spark, d, "spans"), k=5, least=0.9, hashes=2, tables=8, probes=4)
+    ranked = _similar(table(spark, d, "spans"), k=5, least=0.9, tables=8, probes=4, growth=1 / 3)
     return mutual_pairs(ranked).toDF("span_a", "span_b")
 
 
+def _asked():
+    """Whether the id is divisible by 20: its last eight digits, read as a hexadecimal number."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.expr("try_to_number(conv(right(id, 8), 16, 10), '9999999999') % 20 = 0"), F.lit(False))
+
+
 def p2_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 most similar spans of each span whose id is divisible by 20 (the last eight digits of
-    the id, read as a hexadecimal number), among all spans of its model."""
+    """The 10 most similar spans of each span whose id is divisible by 20, among all spans of its model."""
     from pyspark.sql import functions as F
 
-    tune(spark)
-    asks = F.coalesce(F.expr("try_to_number(conv(right(id, 8), 16, 10), '9999999999') % 20 = 0"), F.lit(False))
-    ranked = _similar(table(spark, d, "spans"), k=10, hashes=1, tables=12, probes=4, asks=asks)
+    ranked = _similar(table(tune(spark), d, "spans"), k=10, asks=_asked())
     return ranked.select(F.col("a").alias("span_id"), F.col("b").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """(model, queries, recall): the share of the 10 most similar spans that p2_topk finds, by the exact
+    search of the same queries over all rows, in blocks of queries."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from weft.llm.vectors import recall, usable
+    from weft.operators.retrieval import vector_topk
+
+    spans = table(tune(spark), d, "spans").select("id", F.col("model").alias("grp"), "embedding")
+    rows = usable(spans, 64).groupBy("id", "grp").agg(F.min("embedding").alias("embedding"))
+    exact = []
+    for (grp,) in spans.select("grp").filter("grp is not null").distinct().toLocalIterator():  # a few models
+        own = rows.filter(F.col("grp") == grp)
+        found = vector_topk(own.filter(_asked()).select(F.col("id").alias("query_id"), "embedding"), own.select("id", "embedding"), 11, 64)
+        found = found.filter("query_id <> id").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+        exact.append(found.filter("place <= 10").select(F.lit(grp).alias("grp"), F.col("query_id").alias("a"), F.col("id").alias("b")))
+    if not exact:
+        return spark.createDataFrame([], "model string, queries long, recall double")
+    found = recall(p2_topk(spark, d).select(F.col("span_id").alias("a"), F.col("neighbour_id").alias("b")), reduce(DataFrame.unionByName, exact))
+    return found.select(F.col("grp").alias("model"), "queries", F.round("recall", 4).alias("recall"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from weft.llm.conversations import sound_turns
 

@@ -94,12 +94,13 @@ def test_cells_stay_small_and_probes_grow_slower_than_the_collection():
     assert share[0] > 5 * share[1] > 25 * share[2]
 
 
-def test_half_precision_error_is_within_its_bound():
+def test_errors_of_the_copies_bound_every_product():
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(4000, 64)) * 10.0 ** rng.integers(-3, 3, (4000, 64))
+    x = rng.normal(size=(2000, 64)) * 10.0 ** rng.integers(-3, 3, (2000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    h = x.astype(np.float16).astype(np.float32)
-    assert np.abs((h @ h.T) - x @ x.T).max() < V.ROUNDING
+    copy, error = V.from_copies(V.small_copies(x))
+    off = error[:, None] * (1 + error) + error + V.ROUNDING
+    assert (np.abs(copy @ copy.T - x @ x.T) <= off).all() and error.max() < 0.04
 
 
 def test_many_equal_vectors_give_a_row_a_neighbour(spark):

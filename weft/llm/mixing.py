@@ -2,15 +2,18 @@
 
 The mixture's size is the largest at which no source needs to repeat its documents more often than it
 may. It is cut into equal blocks of tokens, and the blocks go to the sources by highest quotients
-share / (2 k + 1). A source's blocks are dealt to its shards in the same way, by their tokens; each shard
-then takes its quota in a seeded order of its documents: whole passes first, then the documents that
-still fit.
+share / (2 k + 1). A source's blocks are dealt to its shards in the same way, by their tokens, so that
+each shard has an integer quota. A shard lays its documents end to end in a seeded order, which cuts
+them into blocks of the same size, and takes its quota of them: whole passes first, then the first
+blocks of the next pass. Where documents lie across the last block's end, single documents are added,
+left out or exchanged as long as that brings the shard's tokens nearer to its quota.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window as W
 
@@ -55,7 +58,8 @@ def _sized(documents: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = targets.select(source_key("source").alias("source"), "target_share", "max_repeats").filter("source is not null and target_share > 0 and max_repeats >= 1")
     rows = documents.select("doc_id", source_key("source").alias("source"), "text").filter("doc_id is not null and text is not null")
     sized = count_tokens(rows.join(wanted.select("source").distinct(), "source", "left_semi").select("doc_id", "source", "text"))
-    return sized.filter("n_tokens > 0").dropDuplicates(["doc_id"])
+    kept = sized.filter("n_tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d"))
+    return kept.select("doc_id", "d.source", "d.n_tokens")
 
 
 def _dealt(frame: pd.DataFrame) -> pd.DataFrame:
@@ -64,25 +68,53 @@ def _dealt(frame: pd.DataFrame) -> pd.DataFrame:
     return frame[["source", "shard", "quota"]]
 
 
-def _select(block: float, seed: int):
+def _nearest(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of the value of a sorted array that is nearest to each wanted one."""
+    at = np.clip(np.searchsorted(values, wanted), 0, len(values) - 1)
+    before = np.maximum(at - 1, 0)
+    return np.where(np.abs(values[before] - wanted) <= np.abs(values[at] - wanted), before, at)
+
+
+def taken(tokens: np.ndarray, quota: float, most: int) -> np.ndarray:
+    """Copies of each document, in seeded order, for ``quota`` tokens with at most ``most`` copies each."""
+    whole = int(min(most, quota // tokens.sum()))
+    left = quota - whole * tokens.sum()
+    copies = np.full(len(tokens), whole)
+    if whole == most:
+        return copies
+    ends = tokens.cumsum()
+    copies[ends - tokens / 2 <= left] += 1  # documents that lie in the first blocks
+    gap = quota - float((tokens * copies).sum())
+    for _ in range(16):
+        more, less = np.flatnonzero(copies < most), np.flatnonzero(copies > 0)
+        more, less = more[np.argsort(tokens[more], kind="stable")], less[np.argsort(tokens[less], kind="stable")]
+        tries = []  # (what remains, document with a copy more, document with a copy less)
+        if len(more):
+            i = more[_nearest(tokens[more], np.array([gap]))[0]]
+            tries.append((abs(gap - tokens[i]), i, -1))
+        if len(less):
+            i = less[_nearest(tokens[less], np.array([-gap]))[0]]
+            tries.append((abs(gap + tokens[i]), -1, i))
+        if len(more) and len(less):
+            i = more[_nearest(tokens[more], gap + tokens[less])]
+            rest = np.abs(gap - tokens[i] + tokens[less])
+            at = int(rest.argmin())
+            tries.append((rest[at], i[at], less[at]))
+        best, add, drop = min(tries, key=lambda t: t[0], default=(np.inf, -1, -1))
+        if best >= abs(gap):
+            break
+        for i, step in ((add, 1), (drop, -1)):
+            if i >= 0:
+                copies[i] += step
+                gap -= step * float(tokens[i])
+    return copies
+
+
+def _select(block: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = plain_columns(frame).sort_values(["turn", "doc_id"])
-        tokens = frame["n_tokens"].tolist()
-        quota = int(frame["quota"].iloc[0]) * block
-        most, all_of = int(frame["max_repeats"].iloc[0]), sum(tokens)
-        whole = min(most, int(quota // all_of))
-        copies = [whole] * len(tokens)
-        left = quota - whole * all_of
-        if whole < most:
-            for i, n in enumerate(tokens):
-                if n <= left:
-                    copies[i] += 1
-                    left -= n
-            spare = [(n, i) for i, n in enumerate(tokens) if copies[i] == whole and n < 2 * left]
-            if spare:  # one more document if that comes nearer
-                n, i = min(spare)
-                copies[i] += 1
-        return pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"], "n_tokens": frame["n_tokens"], "copies": copies}).query("copies > 0")
+        copies = taken(frame["n_tokens"].to_numpy(np.int64), int(frame["quota"].iloc[0]) * block, int(frame["max_repeats"].iloc[0]))
+        return pd.DataFrame({"doc_id": frame["doc_id"], "source": frame["source"], "n_tokens": frame["n_tokens"], "copies": copies.astype(np.int32)}).query("copies > 0")
 
     return run
 
@@ -92,8 +124,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 11, blocks: int =
 
     Source names are compared without outer blanks and letter case. A source of the targets that has no
     tokens is left out, and the other shares are scaled up to sum to 1. Null and empty texts, documents
-    of other or null sources and targets without a positive share give nothing; a repeated doc_id counts
-    once. Without targets or documents the result is empty.
+    of other or null sources and targets without a positive share give nothing; of rows with the same doc_id
+    the one with the least source and number of tokens stands. Without targets or documents the result is empty.
     """
     sized = stage(_sized(documents, targets), "sized")
     spark = documents.sparkSession
@@ -117,7 +149,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 11, blocks: int =
     quotas = turned.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens"), F.first("blocks").alias("blocks"))
     quotas = quotas.groupBy("source").applyInPandas(_dealt, "source string, shard int, quota int")
     kind = dict(sized.dtypes)["doc_id"]
-    return turned.join(quotas, ["source", "shard"]).groupBy("source", "shard").applyInPandas(_select(block, seed), f"doc_id {kind}, source string, n_tokens long, copies int")
+    return turned.join(quotas, ["source", "shard"]).groupBy("source", "shard").applyInPandas(_select(block), f"doc_id {kind}, source string, n_tokens long, copies int")
 
 
 def report(taken: DataFrame, targets: DataFrame) -> DataFrame:

@@ -109,6 +109,28 @@ def p5_bins(spark: SparkSession, d: str) -> DataFrame:
     return pack_items(request_items(*(table(tune(spark), d, t) for t in ("compile_requests", "request_spans", "spans"))))
 
 
+def p5_apart(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a conflict between spans of one artifact too: no container holds two of them."""
+    from weft.llm.packing import pack_items, request_items
+
+    return pack_items(request_items(*(table(tune(spark), d, t) for t in ("compile_requests", "request_spans", "spans"))), forbid=(True, True))
+
+
+def _p5_faults(spark: SparkSession, d: str, packed: DataFrame, forbid: tuple[bool, bool]) -> DataFrame:
+    from weft.llm.packing import faults, request_items
+
+    return faults(packed, request_items(*(table(spark, d, t) for t in ("compile_requests", "request_spans", "spans"))), forbid).withColumnRenamed("group_id", "request_id")
+
+
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """Every item of a request is packed whole, no container is too full or holds a conflict."""
+    return _p5_faults(spark, d, p5_bins(spark, d), (False, True))
+
+
+def p5_apart_check(spark: SparkSession, d: str) -> DataFrame:
+    return _p5_faults(spark, d, p5_apart(spark, d), (True, True))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_bins(spark, d).filter("parts > 1").selectExpr("group_id as request_id", "item_id as span_id").distinct()
 
@@ -148,6 +170,16 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return report(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """(source, within_share, within_repeats) of the sources that have documents: whether the actual share
+    is within 1 % of the target among them, and no document is taken too often."""
+    from pyspark.sql import functions as F
+
+    has = p8_report(spark, d).filter("tokens > 0").withColumn("all_targets", F.sum("target_share").over(Window.partitionBy()))  # one row a source
+    share = F.abs(F.col("actual_share") / (F.col("target_share") / F.col("all_targets")) - 1) <= 0.01
+    return has.select("source", share.alias("within_share"), (F.col("most_copies") <= F.col("allowed")).alias("within_repeats"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     from weft.llm.sentences import find_sentences
 
@@ -162,6 +194,9 @@ _BLANK = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
 _MARK = "CASE WHEN speaker IN ('user', 'assistant') THEN speaker END"
 _PAST = "OVER (PARTITION BY session_id ORDER BY turn_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
+_P5 = """SELECT request_id, count(*) AS items, CAST(sum(n) AS BIGINT) AS size, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS clashes, CAST(0 AS BIGINT) AS cut FROM (SELECT r.request_id, r.span_id, max(s.token_count) AS n
+FROM request_spans r JOIN compile_requests q ON q.id = r.request_id JOIN spans s ON s.id = r.span_id WHERE s.token_count > 0 AND coalesce(q.token_budget, 8000) >= 1 GROUP BY 1, 2) GROUP BY 1"""
+
 SQL = {
     "p1_found": """WITH rec AS (SELECT DISTINCT 'span' AS kind, id, text FROM spans WHERE text IS NOT NULL UNION SELECT DISTINCT 'artifact', id, content FROM artifacts WHERE content IS NOT NULL),
 w AS (SELECT kind, id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM rec),
@@ -186,6 +221,10 @@ SELECT session_id, turn_no, id AS message_id FROM x WHERE session_id NOT IN (SEL
     "p4_found": """SELECT DISTINCT 'artifact' AS kind, id AS item_id FROM artifacts WHERE length(content) > 12000 UNION ALL
 SELECT DISTINCT 'span', id FROM spans WHERE length(text) > 2000 OR length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END > 40""",
     "p5_found": """SELECT DISTINCT r.request_id, r.span_id FROM request_spans r JOIN compile_requests q ON q.id = r.request_id JOIN spans s ON s.id = r.span_id WHERE s.token_count > coalesce(q.token_budget, 8000) AND s.token_count > 0""",
+    "p5_check": _P5,
+    "p5_apart_check": _P5,
+    "p8_check": r"""SELECT lower(trim(t.source)) AS source, true AS within_share, true AS within_repeats FROM mix_targets t
+WHERE t.target_share > 0 AND t.max_repeats >= 1 AND lower(trim(t.source)) IN (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) FROM documents WHERE length(text) > 0)""",
 }
 
 

@@ -19,32 +19,44 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-# Abbreviations by what may follow them.
+# Abbreviations by what may follow them. Others are learned from the documents.
 #: Never end a sentence, whatever follows.
-BEFORE_ANY = set(
+BEFORE_ANY = frozenset(
     """mr mrs ms mx dr prof capt sgt lt col gen hon rev fr st sr jr sra dra srta dres dña mgr ing dipl mme mlle
-    cf vs viz resp ca approx esp incl excl e.g i.e eg ie fig figs eq eqs sec. ch app vol no nos p pp ed eds art op
+    cf vs v viz resp ca approx esp incl excl e.g i.e eg ie fig figs eq eqs sec. ch app vol no nos p pp ed eds art op
     nr abb abs bd bzw z.b d.h u.a o.ä evtl ggf inkl zzgl vgl hr fr. s.o s.u
     env p.ex c.-à-d cf. pág págs p.ej núm art. aprox véase
     см рис стр гл тыс млн млрд т.е напр ул им проф доц
-    p.s д د डॉ श्री""".split()
+    p.s д د डॉ श्री dept bldg univ janv févr avr juil déc""".split()
 )
+#: The same if they begin with a capital: titles before names.
+TITLES = frozenset("gov sen rep adm cmdr maj brig supt pres amb messrs".split())
 #: End a sentence if the next word begins like one.
-BEFORE_LOWER = set("a.m p.m etc usw u.s.w al inc corp co ltd bros llc plc ft in lb oz sec min hr. u.s u.k u.n e.u ph.d b.c a.d т.д т.п т.к jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun st.".split())
-MONTHS = set("jan feb mar apr may jun jul aug sep sept oct nov dec".split())
+BEFORE_LOWER = frozenset("a.m p.m etc usw u.s.w al inc corp co ltd bros llc plc ft in lb oz sec min hr. u.s u.k u.n e.u ph.d b.c a.d т.д т.п т.к jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun st.".split())
+MONTHS = frozenset("jan feb mar apr may jun jul aug sep sept oct nov dec".split())
+#: Of those that may end a sentence, the ones that do so before figures too.
+FIGURES_TOO = frozenset("etc al a.m p.m inc corp co ltd bros".split())
+#: Streets behind a name, saints before one.
+STREETS = frozenset(["st"])
 #: Words before a German ordinal.
-ORDINAL = set("am im der die das den dem des vom zum zur bis ab seit jeder jede jeden jedem ein eine einem einen beim und".split())
+ORDINAL = frozenset("am im der die das den dem des vom zum zur bis ab seit jeder jede jeden jedem ein eine einem einen beim und".split())
 
 _OPEN = {**dict.fromkeys("([{（［【", "b"), "“": "d", "„": "d", "‘": "s", "‚": "s", "«": "g", **dict.fromkeys("「『《〈", "c")}
 _CLOSE = {**dict.fromkeys(")]}）］】", "b"), "”": "d", "’": "s", "»": "g", **dict.fromkeys("」』》〉", "c")}
 _ENDS = ".!?…。！？｡．؟۔।॥‼⁇⁈⁉"
-_STRONG = set("。！？｡．؟۔।॥")
+_STRONG, _CRIES = set("。！？｡．؟۔।॥"), set("!?…")
 _MARK = regex.compile(rf"(?P<end>[{_ENDS}]+)|(?P<open>[(\[{{（［【“„‘‚«「『《〈])|(?P<close>[)\]}}）］】”’»」』》〉])|(?P<quote>\")|(?P<thai>(?<=[฀-๿][​]?)\s+(?=[฀-๿\p{{Lu}}(\[“\"«]))")
 _CLOSERS = "”’»)]}）］】」』》〉\"“"
 _CASELESS = regex.compile(r"[\p{Lo}]")
 _SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
-_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}_.\-]*$")
-_NEXT = regex.compile(r"[^\p{L}\p{N}]*(?P<word>[\p{L}\p{M}\p{N}_.()]*)")
+# These match backwards from a position, so that words of any length are read whole and once.
+_WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}_.\-]*")
+_SPACED = regex.compile(r"(?r)(?<![\p{L}\p{M}])(\p{L}\.[ \xa0]?\p{L})")
+_YEAR = regex.compile(r"(?r)\d{4}\s*г")
+_LEAD = regex.compile(r"(?r)(\p{L}+)\s+\p{Nd}{1,2}")
+_STREET = regex.compile(r"(?r)(?<=[\p{L}\p{N},;:]\s)(?:\p{Lu}\p{L}+|\p{Nd}\w*)\s+\p{L}+")
+_PART = regex.compile(r"\p{L}\.")
+_NEXT = regex.compile(r"[^\p{L}\p{N}]*+(?P<word>[\p{L}\p{M}\p{N}_.()]*)")
 _IDENTIFIER = regex.compile(r"\w+_\w|\w+\(\)|\p{L}+\.\p{L}{2,}")
 _REFERENCE = re.compile(r"pp?\.\s?\d")
 _SPECIAL = re.compile(r"\s*(?:<\|?[^<>\s]{1,20}\|?>|\[[A-Z]{2,5}\]|[^\w\s\"“„«‘(\[「『《¿¡*`.,;:—–-]+)\s+")
@@ -176,73 +188,146 @@ def blocks(text: str) -> Iterator[tuple[int, int, int]]:
         yield start, body, len(text)
 
 
-# ---- events ---------------------------------------------------------------------------------------
-def _ends(text: str, begin: int, marks: str, at: int, closed: int, end: int) -> str:
-    """What a terminator run at ``at`` is, its closing marks ending at ``closed``: '', sure or unlead."""
-    after = text[closed:end]
-    rest = after.lstrip()
-    if not rest:
+# ---- terminators ----------------------------------------------------------------------------------
+# What stands around a terminator falls into a few classes each; the rules below decide for every
+# combination once, and the table of their decisions is what the lexer consults.
+#: What follows: nothing, marks, a letter by its case, a figure, a name written in small letters, others.
+NEXT = ("none", "particle", "ideographic comma", "comma", "semicolon", "colon", "dash", "opened capital", "capital", "quoted capital", "small", "name", "figure", "caseless", "other")
+#: The word before a point: any word, one that never ends a sentence, one that may (by what may follow),
+#: a month, the word No, a Russian year sign with and without a year, an initial, a day of a month.
+BEFORE = ("word", "never", "maybe", "maybe, figures too", "month", "no", "year", "no year", "initial", "day", "foreign", "three small")
+_MARKS = ("point", "cry", "ellipsis", "mixed", "dots")
+_BITS = list(itertools.product((False, True), repeat=3))
+_TO_EVENT = {"": 0, "sure": 1, "unlead": 2}
+
+
+def _decide(free: bool, closers: bool, gap: bool, mark: str, nxt: str, before: str) -> str:
+    """'' (no end), sure or unlead. ``free`` says that the mark or the script needs no blank after it."""
+    if nxt == "none":
         return "sure"
-    gap = len(after) - len(rest)
-    nxt = rest[0]
-    closers = closed > at + len(marks)
-    if marks[-1] in _STRONG or marks[0] in _STRONG or _SPACELESS.match(nxt) and not gap:
-        if closers and not gap and nxt.isalnum():
-            return ""
-        if closers and gap and nxt in "とっ、，,":
-            return ""
-        if closers and gap and _CASELESS.match(nxt):
-            return "unlead"
-        if marks[0] == "." and not closers and len(marks) == 1 and not gap:  # a point inside a name
-            return "" if text[at - 1 : at].isascii() else "sure"
-        return "sure" if nxt not in ",，、;；" else ""
-    if nxt in ",;:，；،؛" or nxt in "—–-" and rest[1:2].isspace():
+    if free:
+        if closers and not gap:
+            stays = nxt in ("particle", "caseless", "capital", "small", "name", "figure")
+        elif closers:
+            stays = nxt in ("particle", "ideographic comma", "comma")
+            if nxt == "caseless":
+                return "unlead"
+        elif mark == "point" and not gap:
+            return "sure" if before == "foreign" else ""
+        else:
+            stays = False
+        return "" if stays or nxt in ("ideographic comma", "comma", "semicolon") else "sure"
+    if nxt in ("comma", "semicolon", "colon", "dash"):
         return ""
     if not gap:
-        if closers or marks != "." and not (set(marks) <= set("!?…") and nxt.isupper()):
-            return "sure" if nxt in "“„«\"([" and closers and rest[1:2].isupper() else ("sure" if nxt.isupper() and marks[-1] in "!?" else "")
-        # a missing blank: a word, a point, a capitalised word
-        before = text[max(begin, at - 3) : at]
-        return "sure" if len(before) == 3 and before.islower() and before.isalpha() and nxt.isupper() and (rest[1:2].islower() or rest[1:2].isspace()) else ""
-    shown = rest
-    m = _SPECIAL.match(rest)
-    if m:
-        shown = rest[m.end() :] or rest
-    first = shown[0]
-    word = _NEXT.match(shown[:80])["word"]
-    small = bool(word) and word[0].islower()
-    named = bool(word) and bool(_IDENTIFIER.match(word) or _REFERENCE.match(shown))
-    if marks == "." and not closers:
-        before = _WORD_BEFORE.search(text[max(begin, at - 24) : at])[0]
-        low = before.lower().lstrip("-.")
-        spaced = regex.search(r"(?:^|[^\p{L}\p{M}])(\p{L}\. ?\p{L})$", text[max(begin, at - 6) : at])
-        if spaced:
-            low = spaced[1].lower().replace(" ", "").replace("\xa0", "")
-        if low == "г":
-            year = regex.search(r"\d{4}\s*г$", text[max(begin, at - 8) : at])
-            return "sure" if year and not small and word else ""
-        if low in BEFORE_LOWER:
-            if low in MONTHS and word[:1].isdigit():
-                return ""
-            return "" if small and not named or word[:1].isdigit() and low not in ("etc", "al", "a.m", "p.m", "inc", "corp", "co", "ltd", "bros") else "sure"
-        if low == "no" and word[:1].isupper():  # the answer, not the number
-            return "sure"
-        if low in BEFORE_ANY:
+        if closers or mark != "point" and not (mark in ("cry", "ellipsis") and nxt == "capital"):
+            return "sure" if closers and nxt == "opened capital" or nxt == "capital" and mark in ("cry", "mixed") else ""
+        return "sure" if before == "three small" and nxt == "capital" else ""
+    if mark == "point" and not closers:
+        if before in ("never", "no year", "initial") or before == "day" and nxt == "capital" or before == "month" and nxt == "figure":
             return ""
-        if len(before) == 1 and before.isalpha() and (before.isupper() or regex.match(r"\p{L}\.", shown)):  # an initial, parts of an abbreviation
+        if before == "year":
+            return "" if nxt in ("small", "name", "other") else "sure"
+        if before == "maybe" and nxt == "figure":
             return ""
-        if before.isdigit() and len(before) <= 2 and not small:
-            lead = regex.search(r"(\p{L}+)\s+\p{Nd}{1,2}$", text[max(begin, at - 20) : at])
-            if lead and lead[1].lower() in ORDINAL and first.isupper():
-                return ""
-    if small and not named:
+        if before == "no" and nxt not in ("capital", "quoted capital"):
+            return ""
+    if nxt == "small":
         return ""
-    if closers and _CASELESS.match(first):
-        return "unlead"
-    return "sure"
+    return "unlead" if closers and nxt == "caseless" else "sure"
+
+
+DECISION = np.array([[[[_TO_EVENT[_decide(*bits, mark, n, w)] for w in BEFORE] for n in NEXT] for mark in _MARKS] for bits in _BITS], np.int8)
+_DECIDED = DECISION.tolist()
+_N, _B = {n: i for i, n in enumerate(NEXT)}, {w: i for i, w in enumerate(BEFORE)}
+_EVENT = ("", "sure", "unlead")
+_FIRST = {**dict.fromkeys("とっ", _N["particle"]), "、": _N["ideographic comma"], **dict.fromkeys(",，", _N["comma"]), **dict.fromkeys(";；", _N["semicolon"]), **dict.fromkeys(":،؛", _N["colon"])}
+_SPACE = regex.compile(r"\s*")
+
+
+def _letter(text: str, at: int, name: bool) -> int:
+    """The class of the word at a position that begins with no mark of its own."""
+    c = text[at]
+    if c.isupper():
+        return _N["capital"]
+    if c.islower():
+        return _N["name"] if name else _N["small"]
+    if _CASELESS.match(c):
+        return _N["caseless"]
+    return _N["figure"] if c.isdigit() or c.isalnum() else _N["other"]
+
+
+def _before(text: str, begin: int, at: int, shown: int, learned: frozenset[str]) -> int:
+    """The class of the word before a point with a blank after it."""
+    word = _WORD_BEFORE.match(text, begin, at)[0]
+    low = word.lower().lstrip("-.")
+    spaced = _SPACED.match(text, begin, at) if len(word) <= 4 else None
+    if spaced:
+        low = spaced[1].lower().replace(" ", "").replace("\xa0", "")
+    if low == "г":
+        return _B["year" if _YEAR.match(text, begin, at) else "no year"]
+    if low in BEFORE_LOWER:
+        return _B["month" if low in MONTHS else "maybe, figures too" if low in FIGURES_TOO else "maybe"]
+    if low == "no":
+        return _B["no"]
+    if low in STREETS and _STREET.match(text, begin, at):
+        return _B["word"]
+    if low in BEFORE_ANY or low in learned or low in TITLES and word[0].isupper():
+        return _B["never"]
+    if len(word) == 1 and word.isalpha() and (word.isupper() or _PART.match(text, shown)):
+        return _B["initial"]
+    if len(word) <= 2 and word.isdigit():
+        lead = _LEAD.match(text, begin, at)
+        if lead and lead[1].lower() in ORDINAL:
+            return _B["day"]
+    return _B["word"]
+
+
+def _ends(text: str, begin: int, marks: str, at: int, closed: int, end: int, learned: frozenset[str]) -> str:
+    """What a terminator run at ``at`` is, its closing marks ending at ``closed``: '', sure or unlead."""
+    nxt = _SPACE.match(text, closed, end).end()
+    if nxt == end:
+        return "sure"
+    c, gap, closers, before = text[nxt], nxt > closed, closed > at + len(marks), 0
+    mark = 0 if marks == "." else (1 if marks[-1] in "!?" else 2) if set(marks) <= _CRIES else 3 if marks[-1] in "!?" else 4
+    free = marks[-1] in _STRONG or marks[0] in _STRONG or not gap and bool(_SPACELESS.match(c))
+    following = _FIRST.get(c, 0)
+    if following and (free or following >= _N["comma"]):
+        pass
+    elif not free and c in "—–-" and text[nxt + 1 : nxt + 2].isspace() and nxt + 1 < end:
+        following = _N["dash"]
+    elif free:
+        following = _letter(text, nxt, False)
+        if mark == 0 and not gap and not closers and not text[at - 1 : at].isascii():
+            before = _B["foreign"]
+    elif not gap:
+        if c.isupper():
+            following = _N["capital"]
+            before = text[max(begin, at - 3) : at]
+            after = text[nxt + 1 : nxt + 2] if nxt + 1 < end else ""
+            before = _B["three small"] if len(before) == 3 and before.islower() and before.isalpha() and (after.islower() or after.isspace()) else 0
+        else:
+            following = _N["opened capital"] if c in "“„«\"([" and nxt + 1 < end and text[nxt + 1].isupper() else _N["other"]
+    else:
+        shown = nxt
+        m = _SPECIAL.match(text, nxt, end)
+        if m and m.end() < end:
+            shown = m.end()
+        m = _NEXT.match(text, shown, end)
+        word = m.start("word")
+        if word == m.end("word"):
+            following = _N["other"]
+        else:
+            following = _letter(text, word, bool(_IDENTIFIER.match(text, word, m.end("word")) or _REFERENCE.match(text, shown, end)))
+            if word > shown:  # behind marks
+                following = _N["quoted capital"] if following == _N["capital"] else _N["other"] if closers and following == _N["caseless"] else following
+        if mark == 0 and not closers:
+            before = _before(text, begin, at, shown, learned)
+    return _EVENT[_DECIDED[4 * free + 2 * closers + gap][mark][following][before]]
 
 
-def events(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+# ---- events ---------------------------------------------------------------------------------------
+def events(text: str, begin: int, end: int, learned: frozenset[str] = frozenset()) -> Iterator[tuple[int, int]]:
     """(symbol, position) of a block's text; a cut is made at the position."""
     quoted = doubled = single = False
     last = begin
@@ -310,7 +395,7 @@ def events(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
                 yield _CODE["close:" + kind], closed
             at = closed
             # a terminator after blanks, as in French, belongs to what is before it
-            kind = _ends(text, begin, m[0], i, closed, end) if not (m[0] == "." and i > begin and text[i - 1].isspace() and text[at : at + 1].isalnum()) else ""
+            kind = _ends(text, begin, m[0], i, closed, end, learned) if not (m[0] == "." and i > begin and text[i - 1].isspace() and text[at : at + 1].isalnum()) else ""
             if kind:
                 yield _CODE[kind], closed
                 last = closed
@@ -336,14 +421,14 @@ def _within(found: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         yield symbol, at
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
+def sentences(text: str, learned: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
     """(start, end) of the units of a text, code points, without outer white space."""
     symbols: list[int] = []
     cuts: list[int] = []
     for start, body, end in blocks(text):
         symbols.append(_CODE["block"])
         cuts.append(start)
-        for symbol, at in _within(events(text, body, end)) if body < end else ():
+        for symbol, at in _within(events(text, body, end, learned)) if body < end else ():
             symbols.append(symbol)
             cuts.append(at)
         symbols.append(_CODE["block"])

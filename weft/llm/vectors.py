@@ -10,8 +10,10 @@ the recall while the share of the collection that is compared falls.
 
 All bits of a key but the last seven route a row to a task, and the last seven (the fine code) say which
 of the task's cells are compared. A query travels once to each routed cell with a bitmap of the fine
-codes it probes there. Half-precision copies of the vectors are compared, each query keeps its k best
-and all that rounding could have placed among them, and these are ranked exactly.
+codes it probes there. 8-bit copies of the vectors are compared, each with a scale of its own and the
+length of its rounding error. The product of two copies differs from that of the vectors by at most the
+sum of the two errors and their product, so each query keeps all that can be among its k best, without
+loss, and these are ranked exactly.
 """
 
 from __future__ import annotations
@@ -33,10 +35,8 @@ CELL = 4096
 FEW = 10_000
 #: Bits of one assignment: 64 signed axes at most.
 WIDEST = 7
-#: Bound of the error of a half-precision similarity of unit vectors. A component's error is at most
-#: 2^-11 of it or 2^-25, so a vector's is at most 2^-11 + sqrt(d) 2^-25, and that of a product below
-#: 2.01 times that for d < 10,000; sums in single precision add less than 1e-5 for d < 100.
-ROUNDING = 0.00102
+#: More than the error of sums in single precision, for vectors of up to 1,000 numbers.
+ROUNDING = 1e-4
 
 
 def _radices(d: int) -> list[int]:
@@ -153,17 +153,32 @@ def _unit(column: pa.ListArray, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def small_copies(unit: np.ndarray) -> np.ndarray:
+    """8-bit copies of unit vectors as bytes, with scale and error: n rows of d + 8 bytes."""
+    scale = (np.abs(unit).max(1) / 127).astype(np.float32)
+    copy = np.rint(unit / scale[:, None]).astype(np.int8)
+    error = np.sqrt(((copy * scale[:, None].astype(np.float64) - unit) ** 2).sum(1)).astype(np.float32)
+    return np.concatenate((copy.view(np.uint8), scale[:, None].view(np.uint8), error[:, None].view(np.uint8)), 1)
+
+
+def from_copies(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors and the errors of copies."""
+    d = rows.shape[1] - 8
+    scale, error = (np.ascontiguousarray(rows[:, a : a + 4]).view(np.float32)[:, 0] for a in (d, d + 4))
+    return np.ascontiguousarray(rows[:, :d]).view(np.int8).astype(np.float32) * scale[:, None], error
+
+
 def _packed(rows: np.ndarray) -> pa.Array:
     width = rows.shape[1] * rows.itemsize
     data = np.ascontiguousarray(rows)
     return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.py_buffer(data)])
 
 
-def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+def _unpacked(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), -1).view(kind)
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), -1)
 
 
 _ROUTED = "key long, role int, cid long, fine int, probes binary, vec binary"
@@ -185,7 +200,7 @@ def _route(index: CrossPolytope, counting: bool):
                 if counting:
                     yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1))], ["key"])
                     continue
-                vec, cid = unit.astype(np.float16), part.column("cid").to_numpy()
+                vec, cid = small_copies(unit), part.column("cid").to_numpy()
                 asks = np.flatnonzero(part.column("asks").to_numpy(zero_copy_only=False))
                 probes = np.zeros((n, index.tables, 16), np.uint8)
                 role = np.zeros((n, index.tables), np.int32)
@@ -249,7 +264,8 @@ class _Cell:
             vec, cid, fine = (np.concatenate(x) for x in zip(*self.stored))
             order = np.lexsort((cid, fine))
             order = order[np.r_[True, cid[order][1:] != cid[order][:-1]]] if len(order) else order
-            self.vec, self.cid = vec[order].astype(np.float32), cid[order]
+            self.cid = cid[order]
+            self.vec, self.error = from_copies(vec[order])
             self.begin = np.searchsorted(fine[order], np.arange(129))
             self.stored = []
 
@@ -258,11 +274,12 @@ class _Cell:
             vec, cid, probes = (np.concatenate(x) for x in zip(*self.asking))
             for i in range(0, len(cid), self.MANY):
                 part = slice(i, i + self.MANY)
-                yield self.best(vec[part].astype(np.float32), cid[part], probes[part])
+                yield self.best(*from_copies(vec[part]), cid[part], probes[part])
         self.asking, self.waiting = [], 0
 
-    def best(self, queries: np.ndarray, asked: np.ndarray, probes: np.ndarray) -> tuple:
-        """Pairs of a query and a stored vector: the query's k best and those within rounding of them."""
+    def best(self, queries: np.ndarray, error: np.ndarray, asked: np.ndarray, probes: np.ndarray) -> tuple:
+        """Pairs of a query and a stored vector that can be among the query's k best, with the least and
+        the greatest similarity they can have."""
         fine, own = np.nonzero(np.unpackbits(probes, axis=1, bitorder="little").T)
         edge = np.searchsorted(fine, np.arange(129))
         found = []
@@ -272,22 +289,23 @@ class _Cell:
             if at == to or not len(rows):
                 continue
             s = queries[rows] @ self.vec[at:to].T
-            s[asked[rows][:, None] == self.cid[at:to]] = -2
-            floor = np.full(len(s), max(self.least, -1.0) - ROUNDING, np.float32)
+            off = error[rows][:, None] * (1 + self.error[at:to]) + self.error[at:to] + ROUNDING
+            s[asked[rows][:, None] == self.cid[at:to]] = -9
+            floor = np.full(len(s), max(self.least, -8.0), np.float32)
             if to - at > self.k:
-                floor = np.maximum(floor, np.partition(s, to - at - self.k, axis=1)[:, to - at - self.k] - 2 * ROUNDING)
-            q, t = np.nonzero(s >= floor[:, None])
-            found.append((rows[q], t + at, s[q, t]))
+                floor = np.maximum(floor, np.partition(s - off, to - at - self.k, axis=1)[:, to - at - self.k])
+            q, t = np.nonzero(s + off >= floor[:, None])
+            found.append((rows[q], t + at, s[q, t], off[q, t]))
         if not found:
-            return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.float32),)
-        q, t, s = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((-s, q))
-        q, t, s = q[order], t[order], s[order]
+            return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.float32),) * 2
+        q, t, s, off = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((off - s, q))
+        q, t, low, high = q[order], t[order], (s - off)[order], (s + off)[order]
         first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
         size = np.diff(np.r_[first, len(q)])
-        kth = np.where(size >= self.k, s[np.minimum(first + self.k - 1, len(s) - 1)] - 2 * ROUNDING, -4).astype(np.float32) if len(q) else s
-        keep = s >= np.repeat(kth, size)
-        return asked[q[keep]], self.cid[t[keep]], s[keep]
+        kth = np.where(size >= self.k, low[np.minimum(first + self.k - 1, len(q) - 1)], -9).astype(np.float32) if len(q) else low
+        keep = high >= np.repeat(kth, size)
+        return asked[q[keep]], self.cid[t[keep]], low[keep], high[keep]
 
 
 def _compare(k: int, least: float):
@@ -300,7 +318,7 @@ def _compare(k: int, least: float):
             if not batch.num_rows:
                 continue
             key, salt, role, cid, fine = (batch.column(c).to_numpy() for c in ("key", "salt", "role", "cid", "fine"))
-            vec, probes = _unpacked(batch.column("vec"), np.float16), _unpacked(batch.column("probes"), np.uint8)
+            vec, probes = _unpacked(batch.column("vec")), _unpacked(batch.column("probes"))
             cut = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
             out: list[tuple] = []
             for begin, end in zip([0, *cut], [*cut, len(key)]):
@@ -326,8 +344,8 @@ def _compare(k: int, least: float):
     return run
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(near, pa.float32())], ["a", "b", "near"])
+def _pairs(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(low, pa.float32()), pa.array(high, pa.float32())], ["a", "b", "low", "high"])
 
 
 def _cosine(dim: int):
@@ -400,15 +418,15 @@ def similar_vectors(
     few = hot.limit(FEW + 1).count()
     cells = narrow.mapInArrow(_route(index, False), _ROUTED)
     cells = _spread(cells, hot, few) if few else cells.select("key", F.lit(0).alias("salt"), "role", "cid", "fine", "probes", "vec")
-    # About 100 MB of routed rows a task at every size.
-    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * tables * 2 // 500_000)
+    # About 100,000 routed rows a task at every size.
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * tables * 2 // 100_000)
     cells = cells.repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", F.col("role") == 1)
-    pairs = cells.mapInArrow(_compare(k, least), "a long, b long, near float").groupBy("a", "b").agg(F.max("near").alias("near"))
-    # Only classes near a query's k best are ranked exactly.
+    pairs = cells.mapInArrow(_compare(k, least), "a long, b long, low float, high float").groupBy("a", "b").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    # Only classes that can be among a query's k best are ranked exactly.
     own = W.partitionBy("a")
-    pairs = pairs.withColumn("place", F.row_number().over(own.orderBy(F.col("near").desc())))
-    kth = F.max(F.when(F.col("place") == k, F.col("near"))).over(own)
-    pairs = pairs.withColumn("kth", kth).filter(F.coalesce(F.col("near") >= F.col("kth") - 2 * ROUNDING, F.lit(True)))
+    pairs = pairs.withColumn("place", F.row_number().over(own.orderBy(F.col("low").desc())))
+    kth = F.max(F.when(F.col("place") == k, F.col("low"))).over(own)
+    pairs = pairs.withColumn("kth", kth).filter(F.coalesce(F.col("high") >= F.col("kth"), F.lit(True)))
     pairs = pairs.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
     held = classes.select("cid", "embedding")
     pairs = pairs.join(held.toDF("p", "x"), "p").join(held.toDF("q", "y"), "q")

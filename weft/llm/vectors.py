@@ -93,6 +93,10 @@ class CrossPolytope:
     def n_probes(self, bits: int) -> int:
         return max(4, round(self.probes * 2 ** (self.growth * (bits - 14))))
 
+    def n_routes(self, bits: int) -> int:
+        """Routed cells of a table that a query travels to; its probes lie in these."""
+        return max(4, self.n_probes(bits) // 25)
+
     def turned(self, unit: np.ndarray, part: int, bits: int) -> np.ndarray:
         """(n, tables, signed axes): the coordinates that the part's assignment looks at."""
         signs = np.random.default_rng([self.seed, part]).choice(np.array([-1, 1], np.float32), (3, self.tables, self.axes))
@@ -115,11 +119,11 @@ class CrossPolytope:
 
     def probed(self, unit: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(n, tables, probes) coarse and fine codes of the cells that lose least, in no order."""
-        n, most, parts = len(unit), self.n_probes(bits), self.parts(bits)
+        n, parts = len(unit), self.parts(bits)
         key = fine = np.zeros((n, self.tables, 1), np.int64)
         loss = np.zeros((n, self.tables, 1), np.float32)
         for p, b in enumerate(parts):
-            y = self.turned(unit, p, b)
+            y, most = self.turned(unit, p, b), self.n_probes(bits) if p == len(parts) - 1 else self.n_routes(bits)
             near = min(y.shape[-1], most)
             code = np.argpartition(-y, near - 1, -1)[..., :near] if near < y.shape[-1] else np.broadcast_to(np.arange(near), y.shape)
             size = np.take_along_axis(y, code, -1)
@@ -299,21 +303,17 @@ class _Cell:
         if not found:
             return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.float32),) * 2
         q, t, s, off = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((off - s, q))
-        q, t, low, high = q[order], t[order], (s - off)[order], (s + off)[order]
-        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
-        size = np.diff(np.r_[first, len(q)])
-        kth = np.where(size >= self.k, low[np.minimum(first + self.k - 1, len(q) - 1)], -9).astype(np.float32) if len(q) else low
-        keep = high >= np.repeat(kth, size)
-        return asked[q[keep]], self.cid[t[keep]], low[keep], high[keep]
+        return _reduced([(asked[q], self.cid[t], s - off, s + off)], self.k)
 
 
 def _compare(k: int, least: float):
     """Groups arrive sorted by (key, salt), stored vectors before pure queries; the queries are
-    compared as they stream past, so only one cell's stored vectors are held."""
+    compared as they stream past, so only one cell's stored vectors are held. What a query found in
+    several cells of a task is reduced to its best before it leaves, in portions of ``_HELD`` pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cell = None, _Cell(k, least)
+        kept: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -335,15 +335,38 @@ def _compare(k: int, least: float):
                 if pure < end:
                     cell.settle()
                     out.extend(cell.ask(vec[pure:end], cid[pure:end], probes[pure:end]))
-            if out:
-                yield _pairs(*(np.concatenate(x) for x in zip(*out)))
+            kept += out
+            if sum(len(x[0]) for x in kept) > _HELD:
+                kept = [_reduced(kept, k)]
+                if len(kept[0][0]) > _HELD // 2:
+                    yield _pairs(*kept.pop())
         cell.settle()
-        for found in cell.answer():
-            yield _pairs(*found)
+        kept += cell.answer()
+        if kept:
+            yield _pairs(*_reduced(kept, k))
 
     return run
 
 
+_HELD = 1_000_000
+
+
+def _reduced(found: list[tuple], k: int) -> tuple:
+    """The pairs once each, and of each query only those that can be among its k best."""
+    a, b, low, high = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((b, a))
+    order = order[np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]] if len(order) else order
+    order = order[np.lexsort((-low[order], a[order]))]
+    a, b, low, high = a[order], b[order], low[order], high[order]
+    if not len(a):
+        return a, b, low, high
+    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    size = np.diff(np.r_[first, len(a)])
+    kth = np.where(size >= k, low[np.minimum(first + k - 1, len(a) - 1)], -9)
+    keep = high >= np.repeat(kth, size)
+    return a[keep], b[keep], low[keep], high[keep]
+
+
 def _pairs(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(low, pa.float32()), pa.array(high, pa.float32())], ["a", "b", "low", "high"])
 
@@ -384,7 +407,7 @@ def _spread(cells: DataFrame, hot: DataFrame, few: int) -> DataFrame:
 
 
 def similar_vectors(
-    vectors: DataFrame, k: int, dim: int = 64, least: float = -1.0, tables: int = 8, probes: int = 256, growth: float = 0.5, asks=None
+    vectors: DataFrame, k: int, dim: int = 64, least: float = -1.0, tables: int = 8, probes: int = 200, growth: float = 0.5, asks=None
 ) -> DataFrame:
     """(a, b, similarity, rank): the k vectors b of the same group most similar to each vector a.
 

@@ -107,3 +107,41 @@ def test_pack_items_edge_cases(spark):
             load[(r.shard, r.bin)] = load.get((r.shard, r.bin), 0) + r["size"]
         assert max(load.values()) <= 20
     assert P.pack_items(spark.createDataFrame([], shape)).count() == 0
+
+
+def plain_best_fit(items, capacity, forbid):
+    bins, out = [], []
+    for size, source, cluster in items:
+        left, parts = size, []
+        marks = ({("s", source)} if forbid[0] and source >= 0 else set()) | ({("c", cluster)} if forbid[1] and cluster >= 0 else set())
+        while left > capacity:
+            bins.append([0, set()])
+            parts.append((len(bins) - 1, len(parts), capacity))
+            left -= capacity
+        fits = [(room, i) for i, (room, held) in enumerate(bins) if room >= left and not held & marks]
+        if fits:
+            i = min(fits)[1]
+        else:
+            i = len(bins)
+            bins.append([capacity, set()])
+        bins[i][0] -= left
+        bins[i][1] |= marks
+        parts.append((i, len(parts), left))
+        out.append(parts)
+    return out
+
+
+def test_best_fit_equals_a_scan_of_all_bins():
+    rng = random.Random(8)
+    for _ in range(150):
+        capacity, forbid = rng.choice([10, 37, 100]), rng.choice([(False, True), (True, True), (True, False), (False, False)])
+        items = sorted(((rng.randrange(1, 2 * capacity), rng.randrange(-1, 4), rng.randrange(-1, 5)) for _ in range(rng.randrange(1, 60))), reverse=True)
+        assert P.best_fit(items, capacity, forbid) == plain_best_fit(items, capacity, forbid)
+
+
+def test_many_copies_of_one_text_do_not_take_quadratic_time():
+    import time
+
+    began = time.process_time()
+    placed = P.best_fit([(100 - k // 500, -1, 0) for k in range(20_000)], 8000)
+    assert len({p[0][0] for p in placed}) == 20_000 and time.process_time() - began < 20

@@ -14,10 +14,13 @@ FOLDER = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for f in os.listdir(FOLDER):
-        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{FOLDER}/{f}'")
-    df = Q.queries()[name](spark, FOLDER)
+    # The smallest data have too few documents for exact shares.
+    folder = FOLDER if name != "p8_check" else "/root/testdata/sf0.01"
+    for f in os.listdir(folder):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}'")
+    df = Q.queries()[name](spark, folder)
     res = con.sql(Q.SQL[name])
     names = sorted(df.columns)
     at = [res.columns.index(c) for c in names]
-    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in res.fetchall())
+    plain = lambda rows: sorted(rows, key=lambda r: [(v is None, str(v)) for v in r])
+    assert plain(tuple(r[c] for c in names) for r in df.collect()) == plain(tuple(r[i] for i in at) for r in res.fetchall())

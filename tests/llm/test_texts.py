@@ -128,3 +128,51 @@ def test_brackets_nest_to_any_depth():
         for n in (2, 3, 9):
             text = f"He said {a * n}deep{b * (n - 1)} Still inside. Not out yet{b} and here. Then more."
             assert [text[x:y] for x, y in sentences(text)] == [text[:-11], "Then more."], (a, n)
+
+
+def test_abbreviations_outside_the_lists_of_one_corpus():
+    one = ["Then Gov. Newsom spoke.", "Sen. Warren and Rep. Smith met.", "The Dept. Chair came.", "See Bldg. Seven today.", "Adm. Kirk and Lt. Cmdr. Data left.", "Roe v. Wade was argued.", "En janv. Paris brille.", "We saw St. Paul there."]
+    for text in one:
+        assert S.sentences(text) == [(0, len(text))], text
+    assert len(S.sentences("He lives on Main St. Paul agrees.")) == 2
+
+
+def test_abbreviations_are_learned(spark):
+    rows = [(i, f"The qty. of part {i} is low. It rose by appr. five now. Good zord. Then zord. Next.") for i in range(8)] + [(99, None), (98, "")]
+    learned = S.learn_abbreviations(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert learned == {"qty", "appr"}
+    assert len(S.sentences("The appr. Value is known. Ok.")) == 3 and len(S.sentences("The appr. Value is known. Ok.", learned)) == 2
+
+
+def test_time_is_linear_in_one_block():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = "Here it is, e.g. in one block, by Dr. Who. " * n
+        began = time.process_time()
+        S.sentences(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_parts_of_long_texts(spark, monkeypatch):
+    text = "One. Two (a. b.) three.\n- item 1. More\n- item 2\n\n```\na. b.\n\nc\n```\n# Head\nwrapped\nline. End.\n\n" * 40
+    whole = S.sentences(text)
+    cut = [(o + a, o + b) for o, part in S.parts(text, 100) for a, b in S.sentences(part)]
+    assert cut == whole and len(list(S.parts(text, 100))) > 20
+    monkeypatch.setattr(S, "PART", 500)
+    got = sorted((r.start_pos, r.end_pos) for r in S.find_sentences(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect())
+    assert got == whole
+
+
+def test_shares_are_met_by_exchange():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for _ in range(200):
+        t, most = r.integers(1, 500, int(r.integers(30, 90))), int(r.integers(1, 4))
+        quota = float(r.uniform(2000, t.sum() * most))
+        copies = X.taken(t, quota, most)
+        assert (copies >= 0).all() and (copies <= most).all() and abs((copies * t).sum() - quota) <= 0.005 * quota
+    assert X.taken(np.array([5, 7]), 0.0, 2).tolist() == [0, 0] and X.taken(np.array([5, 7]), 24.0, 2).tolist() == [2, 2]

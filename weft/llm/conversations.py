@@ -8,7 +8,7 @@ conversation is ordered, numbered and checked.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from weft.llm.components import connected_components
 
@@ -46,19 +46,20 @@ def _roles(messages: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def turns(messages: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(conversation_id, turn_no, message_id, speaker, content, fault) for every message of every
-    conversation, in order; ``fault`` says why the conversation is not sound, null if it is.
+    """(conversation_id, session_id, turn_no, message_id, speaker, content, fault) for every message of
+    every conversation, in order; ``fault`` says why the conversation is not sound, null if it is.
 
     Repeated rows count once, and of messages with equal non-null sequence number, role and content
     the earliest stands (by time, null times last, then id). The order is by sequence number or, if
     any is null in the conversation, by time (null times last), then id.
 
-    All checks are aggregates and windows over the conversation's rows, so memory does not grow with
-    the length of a conversation.
+    The rows are shuffled once, by conversation: copies, order and all checks are windows over that
+    partitioning, whose buffers spill, so memory does not grow with the length of a conversation.
     """
     columns = ["id", "session_id", "role", "content", "metadata", "sequence_number", "created_at"]
-    messages = messages.select(*columns).filter("id is not null").distinct()
-    rows = _roles(conversation_keys(messages), aliases)
+    messages = messages.select(*columns).filter("id is not null")
+    rows = _roles(conversation_keys(messages), aliases).repartition("conversation_id")
+    rows = rows.dropDuplicates(["conversation_id", *columns])
     earliest = W.partitionBy("conversation_id", "sequence_number", F.coalesce("speaker", F.concat(F.lit("?"), "role")), "content").orderBy(F.col("created_at").asc_nulls_last(), "id")
     whole = F.col("sequence_number").isNotNull() & F.col("content").isNotNull() & F.col("role").isNotNull()
     rows = rows.withColumn("copy", F.when(whole, F.row_number().over(earliest)).otherwise(1)).filter("copy = 1")
@@ -67,39 +68,46 @@ def turns(messages: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def _checked(rows: DataFrame) -> DataFrame:
     talk = W.partitionBy("conversation_id")
-    totals = rows.groupBy("conversation_id").agg(
-        F.max(F.col("sequence_number").isNull()).alias("unnumbered"),
-        F.min("sequence_number").alias("lowest"),
-        F.max("sequence_number").alias("highest"),
-        F.count("*").alias("size"),
-        F.countDistinct("sequence_number").alias("numbers"),
-        F.max(F.col("speaker").isNull()).alias("stranger"),
-        F.max(F.col("content").isNull() | F.col("content").rlike(BLANK)).alias("hollow"),
+    rows = rows.withColumns(
+        {
+            "unnumbered": F.max(F.col("sequence_number").isNull()).over(talk),
+            "lowest": F.min("sequence_number").over(talk),
+            "highest": F.max("sequence_number").over(talk),
+            "size": F.count(F.lit(1)).over(talk),
+            "stranger": F.max(F.col("speaker").isNull()).over(talk),
+            "hollow": F.max(F.col("content").isNull() | F.col("content").rlike(BLANK)).over(talk),
+        }
     )
-    rows = rows.join(totals, "conversation_id")
     by_time = F.when(F.col("unnumbered"), F.col("created_at"))
-    key = [F.when(~F.col("unnumbered"), F.col("sequence_number")).asc_nulls_last(), by_time.asc_nulls_last(), F.col("id")]
-    ordered = talk.orderBy(*key)
-    rows = rows.withColumn("turn_no", (F.row_number().over(ordered) - 1).cast("long"))
+    ordered = talk.orderBy(F.when(~F.col("unnumbered"), F.col("sequence_number")).asc_nulls_last(), by_time.asc_nulls_last(), F.col("id"))
+    earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
     spoken = F.col("speaker") != "system"
     # The speaker that matters next: after a user, an assistant must come before the next user.
     marks = F.when(F.col("speaker").isin("user", "assistant"), F.col("speaker"))
-    rows = rows.withColumn("before", F.last(marks, True).over(ordered.rowsBetween(W.unboundedPreceding, -1)))
-    rows = rows.withColumn("spoken_before", F.max(F.when(spoken, 1)).over(ordered.rowsBetween(W.unboundedPreceding, -1)))
-    checks = rows.groupBy("conversation_id").agg(
-        F.max(spoken & F.col("spoken_before").isNull() & (F.col("speaker") != "user")).alias("no_opening"),
-        F.max(~F.coalesce(spoken, F.lit(True))).alias("system_only_part"),
-        F.max(spoken).alias("any_spoken"),
-        F.max((F.col("speaker") == "user") & (F.col("before") == "user")).alias("unanswered"),
-        F.max_by(marks, F.when(marks.isNotNull(), F.col("turn_no"))).alias("closing"),
+    rows = rows.withColumns(
+        {
+            "turn_no": (F.row_number().over(ordered) - 1).cast("long"),
+            "before": F.last(marks, True).over(earlier),
+            "spoken_before": F.max(F.when(spoken, 1)).over(earlier),
+            "number_before": F.lag("sequence_number").over(ordered),
+            "closing": F.last(marks, True).over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
+        }
     )
-    rows = rows.join(checks.drop("system_only_part"), "conversation_id")
-    gap = ~F.col("unnumbered") & ((F.col("numbers") < F.col("size")) | (F.col("highest") - F.col("lowest") + 1 > F.col("size")) | ~F.col("lowest").isin(0, 1))
+    ever = lambda c: F.max(F.coalesce(c, F.lit(False))).over(talk)
+    rows = rows.withColumns(
+        {
+            "collision": ever(F.col("sequence_number") == F.col("number_before")),
+            "any_spoken": ever(spoken),
+            "no_opening": ever(spoken & F.col("spoken_before").isNull() & (F.col("speaker") != "user")),
+            "unanswered": ever((F.col("speaker") == "user") & (F.col("before") == "user")),
+        }
+    )
+    gap = ~F.col("unnumbered") & (F.col("collision") | (F.col("highest") - F.col("lowest") + 1 != F.col("size")) | ~F.col("lowest").isin(0, 1))
     fault = (
         F.when(F.col("stranger"), "unknown role")
         .when(F.col("hollow"), "empty message")
         .when(gap, "gap or collision")
-        .when(~F.coalesce("any_spoken", F.lit(False)), "nobody speaks")
+        .when(~F.col("any_spoken"), "nobody speaks")
         .when(F.col("no_opening"), "does not open with the user")
         .when(F.col("unanswered") | ~F.coalesce(F.col("closing") == "assistant", F.lit(False)), "missing reply")
     )
@@ -123,6 +131,7 @@ def reports(messages: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
-def speakers(conversation: Column) -> Column:
-    """The sequence of speakers of an array of turns (turn_no, speaker), as text."""
-    return F.array_join(F.transform(F.array_sort(conversation), lambda t: t["speaker"]), " ")
+def threads(messages: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(conversation_id, turn_no, message_id, fault) of the conversations that have no session id: the
+    components over reply and quote links, each under its least message id. Sound ones have a null fault."""
+    return turns(messages.filter("session_id is null"), aliases).select("conversation_id", "turn_no", "message_id", "fault")

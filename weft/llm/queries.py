@@ -92,6 +92,13 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return reports(*(table(tune(spark), d, t) for t in ("messages", "role_aliases")))
 
 
+def p3_threads(spark: SparkSession, d: str) -> DataFrame:
+    """The conversations put together from messages without a session id, sound or not."""
+    from weft.llm.conversations import threads
+
+    return threads(*(table(tune(spark), d, t) for t in ("messages", "role_aliases")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).select("kind", "item_id").distinct()
 
@@ -218,6 +225,21 @@ bad AS (SELECT session_id FROM x GROUP BY 1 HAVING bool_or(speaker IS NULL) OR b
  OR NOT coalesce(bool_or(speaker <> 'system'), false) OR bool_or(speaker <> 'system' AND spoken IS NULL AND speaker <> 'user') OR bool_or(speaker = 'user' AND coalesce(before, '') = 'user')
  OR coalesce(max_by(speaker, turn_no) FILTER (speaker IN ('user', 'assistant')) <> 'assistant', true))
 SELECT session_id, turn_no, id AS message_id FROM x WHERE session_id NOT IN (SELECT session_id FROM bad)""",
+    "p3_threads": rf"""WITH RECURSIVE m AS (SELECT DISTINCT * FROM messages WHERE id IS NOT NULL AND session_id IS NULL),
+l AS (SELECT id AS u, unnest([json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.reply_to'), json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.quotes')]) AS v FROM m),
+e AS (SELECT u, v FROM l WHERE v IN (SELECT id FROM m) UNION SELECT v, u FROM l WHERE v IN (SELECT id FROM m)),
+w AS (SELECT id AS node, id AS other FROM m UNION SELECT w.node, e.v FROM w JOIN e ON e.u = w.other),
+c AS (SELECT node, min(other) AS component FROM w GROUP BY 1),
+r AS (SELECT m.*, 'thread:' || c.component AS session, a.role AS speaker FROM m JOIN c ON c.node = m.id LEFT JOIN role_aliases a ON a.alias = lower(regexp_replace(m.role, '^{_BLANK}+|{_BLANK}+$', '', 'g'))),
+d AS (SELECT *, CASE WHEN sequence_number IS NOT NULL AND content IS NOT NULL AND role IS NOT NULL THEN row_number() OVER (PARTITION BY session, sequence_number, coalesce(speaker, '?' || role), content ORDER BY created_at NULLS LAST, id) ELSE 1 END AS copy FROM r),
+k AS (SELECT *, bool_or(sequence_number IS NULL) OVER (PARTITION BY session) AS unnumbered FROM d WHERE copy = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY CASE WHEN NOT unnumbered THEN sequence_number END NULLS LAST, CASE WHEN unnumbered THEN created_at END NULLS LAST, id) - 1 AS turn_no FROM k),
+x AS (SELECT *, last_value({_MARK} IGNORE NULLS) {_PAST.replace("session_id", "session")} AS before, max(CASE WHEN speaker <> 'system' THEN 1 END) {_PAST.replace("session_id", "session")} AS spoken FROM o),
+f AS (SELECT session, CASE WHEN bool_or(speaker IS NULL) THEN 'unknown role' WHEN bool_or(content IS NULL OR regexp_matches(content, '^{_BLANK}*$')) THEN 'empty message'
+ WHEN NOT bool_or(unnumbered) AND (count(DISTINCT sequence_number) < count(*) OR max(sequence_number) - min(sequence_number) + 1 > count(*) OR min(sequence_number) NOT IN (0, 1)) THEN 'gap or collision'
+ WHEN NOT coalesce(bool_or(speaker <> 'system'), false) THEN 'nobody speaks' WHEN bool_or(speaker <> 'system' AND spoken IS NULL AND speaker <> 'user') THEN 'does not open with the user'
+ WHEN bool_or(speaker = 'user' AND coalesce(before, '') = 'user') OR coalesce(max_by(speaker, turn_no) FILTER (speaker IN ('user', 'assistant')) <> 'assistant', true) THEN 'missing reply' END AS fault FROM x GROUP BY 1)
+SELECT session AS conversation_id, turn_no, id AS message_id, fault FROM x JOIN f USING (session)""",
     "p4_found": """SELECT DISTINCT 'artifact' AS kind, id AS item_id FROM artifacts WHERE length(content) > 12000 UNION ALL
 SELECT DISTINCT 'span', id FROM spans WHERE length(text) > 2000 OR length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END > 40""",
     "p5_found": """SELECT DISTINCT r.request_id, r.span_id FROM request_spans r JOIN compile_requests q ON q.id = r.request_id JOIN spans s ON s.id = r.span_id WHERE s.token_count > coalesce(q.token_budget, 8000) AND s.token_count > 0""",

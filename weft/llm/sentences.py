@@ -2,22 +2,29 @@
 
 A text is first cut into blocks by its layout (blank lines, headings, fences, list items). Inside the
 blocks a lexer turns the text into events: opening and closing marks, terminators with what surrounds
-them, and block ends. The rules of the events are compiled into the transition and output tables of one
-finite transducer, whose state holds the open quotations and brackets and how the unit began. The events
-of a long text are processed in chunks: each chunk becomes a function from state to state, the functions
-are composed by a parallel prefix scan, and then every chunk is run from its own start state.
+them, and block ends. What surrounds a terminator falls into classes, and the rules are compiled, once for
+every combination of classes, into a table of decisions, and with the other events into the transition
+and output tables of one finite transducer, whose state holds the open quotations and brackets and how
+the unit began. The events of a long text are processed in chunks: each chunk becomes a function from
+state to state, the functions are composed by a parallel prefix scan, and then every chunk is run from
+its own start state. Words are matched by position, so the time is linear in a text's length.
+
+Abbreviations are a short list and what is learned from the documents.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from weft.runtime import stage
 
 # Abbreviations by what may follow them. Others are learned from the documents.
 #: Never end a sentence, whatever follows.
@@ -446,21 +453,87 @@ def sentences(text: str, learned: frozenset[str] = frozenset()) -> list[tuple[in
     return out
 
 
+#: A text of more characters is cut between layout blocks into parts of about this many, which go to
+#: different tasks; a single block stays whole, and its events are scanned by chunks.
+PART = 262_144
+#: A learned abbreviation is followed by a small letter at least so often, and in this share of all cases.
+LEAST, SHARE = 5, 0.75
+#: It also makes up this share of all words with a point, so at most a million are learned from any corpus.
+RARE = 1e-6
+_POINTED = re.compile(r"(?<![\w.])([^\W\d_]{1,4}(?:\.[^\W\d_]{1,4}){1,3}|[^\W\d_]{2,10})\.[ \t]*\n?[ \t]*(?<=\s)([^\W\d_])")
+
+
+def parts(text: str, size: int = PART) -> Iterator[tuple[int, str]]:
+    """(offset, part) of a text, cut where layout blocks end."""
+    if len(text) <= size:
+        yield 0, text
+        return
+    last = 0
+    for _, _, end in blocks(text):
+        if end - last >= size:
+            yield last, text[last:end]
+            last = end
+    if last < len(text):
+        yield last, text[last:]
+
+
+def learn_abbreviations(documents: DataFrame) -> frozenset[str]:
+    """Words that carry a point inside sentences, learned from all documents: a small letter follows the
+    point in most cases, where after an end a capital would. Each batch counts its words before the
+    shuffle; the result is bounded by ``RARE``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small: Counter[str] = Counter()
+        every: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                for word, after in _POINTED.findall(text.as_py()):
+                    if after.islower() or after.isupper():
+                        word = word.lower()
+                        every[word] += 1
+                        small[word] += after.islower()
+            if len(every) > 200_000:
+                yield counts(every, small)
+                every.clear()
+                small.clear()
+        yield counts(every, small)
+
+    def counts(every: Counter, small: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([small[w] for w in every], pa.int64())], ["word", "every", "small"])
+
+    words = documents.select("text").filter("text is not null").mapInArrow(run, "word string, every long, small long")
+    words = words.groupBy("word").agg(F.sum("every").alias("every"), F.sum("small").alias("small"))
+    words = stage(words.groupBy("word").agg(F.sum("every").alias("every"), F.sum("small").alias("small")), "words")
+    total = words.agg(F.coalesce(F.sum("every"), F.lit(0))).first()[0]
+    found = words.filter((F.col("small") >= LEAST) & (F.col("small") >= SHARE * F.col("every")) & (F.col("every") >= RARE * total))
+    return frozenset(r[0] for r in found.select("word").collect())
+
+
 def find_sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, start_pos, end_pos) of every sentence of documents (doc_id, text).
 
     Null, empty and blank texts give nothing; repeated rows count once; other columns are ignored.
     """
+    learned = learn_abbreviations(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, begin, end = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for a, b in sentences(text.as_py()):
+            for i, offset, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                for a, b in sentences(text.as_py(), learned):
                     doc.append(i)
-                    begin.append(a)
-                    end.append(b)
+                    begin.append(offset + a)
+                    end.append(offset + b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, begin, end)], ["doc_id", "start_pos", "end_pos"])
 
-    rows = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id long, start_pos long, end_pos long").distinct()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for offset, part in parts(text.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([offset], pa.int64()), pa.array([part], pa.string())], ["doc_id", "offset", "text"])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    shape = "doc_id long, offset long, text string"
+    short = rows.filter(F.length("text") <= PART).select("doc_id", F.lit(0).cast("long").alias("offset"), "text")
+    long = rows.filter(F.length("text") > PART).mapInArrow(cut, shape).repartition("doc_id", "offset")
+    return short.unionByName(long).mapInArrow(run, "doc_id long, start_pos long, end_pos long").distinct()

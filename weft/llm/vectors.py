@@ -95,7 +95,7 @@ class CrossPolytope:
 
     def n_routes(self, bits: int) -> int:
         """Routed cells of a table that a query travels to; its probes lie in these."""
-        return max(4, self.n_probes(bits) // 25)
+        return max(6, self.n_probes(bits) // 64)
 
     def turned(self, unit: np.ndarray, part: int, bits: int) -> np.ndarray:
         """(n, tables, signed axes): the coordinates that the part's assignment looks at."""

@@ -90,3 +90,61 @@ def test_index_is_appended(spark):
 def test_empty(spark):
     assert cases(spark, [], []) == set()
     assert cases(spark, [], [(1, 1, "p", "a b c d", None)]) == set()
+
+
+def test_long_chains_are_followed_in_bounded_rounds(spark):
+    # each version is similar to its neighbours only: every second one is new
+    words = text(11, 2000).split()
+    versions = [(1, k, f"v{k}", " ".join(words[8 * k : 8 * k + 80]), None) for k in range(40)]
+    found = cases(spark, [("x", "p", "nothing alike", None)], versions)
+    accepted, want = [], set()
+    for _, k, _, t, _ in versions:
+        w = t.split()
+        own = set(zip(w, w[1:], w[2:]))
+        if any(len(own & o) >= 0.7 * len(own | o) - 1e-9 for o in accepted):
+            want.add(k)
+        else:
+            accepted.append(own)
+    assert len(accepted) > 2 * H.ROUNDS and found == want
+
+
+def test_segments_meet_at_the_threshold():
+    import numpy as np
+
+    rng, cut = np.random.default_rng(3), H.Segments(0.7)
+    for n in (3, 10, 40, 119, 121, 200, 900, 5000):
+        missed = 0
+        for _ in range(150):
+            common = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+            extra = int(n / 0.7) - n
+            left = int(rng.integers(0, extra + 1))
+            a, b = (np.unique(np.concatenate((common, rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2)))) for k in (left, extra - left))
+            assert H.bounded_distance(a, b, 10**9) <= 0.3 / 1.7 * (len(a) + len(b)) + 1e-9
+            stored = set(cut.keys(b, cut.length_class(len(b))).tolist())
+            probes = {int(k) for c in cut.classes(len(a)) for k in cut.keys(a, c)}
+            missed += not stored & probes
+        assert not missed, n
+
+
+def test_a_small_batch_reads_only_its_buckets(spark):
+    index = H.SegmentIndex(spark, buckets=4)
+    shape = "rid string, path string, content string, content_hash string"
+    rows = [(f"a{n}", f"p{n}", text(n, 20 + 40 * n), None) for n in range(60)]
+    index.append(spark.createDataFrame(rows, shape))
+    every = set(spark.read.parquet(f"{index.folder}/segments").inputFiles())
+    sketch = index.sketch(index.records(spark.createDataFrame([("b", "p", text(3, 140) + " z", None)], shape)), True)
+    probes = sketch.select(F.explode("parts").alias("part"))
+    read = index._get("segments", probes)
+    n = read.count()
+    assert 0 < n < spark.read.parquet(f"{index.folder}/segments").count() / 2 and len(every) > 12
+    batch = spark.createDataFrame([("b", "p", text(3, 140) + " z", None), ("c", "q", text(99, 140), None)], shape).withColumn("turn", F.col("rid"))
+    assert {r.rid: r.is_case for r in index.screen(batch, append=True).collect()} == {"b": True, "c": False}
+    again = spark.createDataFrame([("d", "q2", text(99, 140) + " y", None)], shape).withColumn("turn", F.col("rid"))
+    assert [r.is_case for r in index.screen(again).collect()] == [True]
+
+
+def test_increments_equal_one_screening(spark):
+    items = [(k // 6, k, f"p{k}", text(k % 7) + (" z" if k % 2 else ""), None) for k in range(24)]
+    a, i = spark.createDataFrame([("x", "p", text(3), None, "r")], A), spark.createDataFrame([(*x, "d", 0) for x in items], I)
+    whole = {r.item_id: r.is_case for r in H.screen_items(a, i).collect()}
+    assert {r.item_id: r.is_case for r in H.screen_increment(a, i).collect()} == {k: v for k, v in whole.items() if k >= 18}

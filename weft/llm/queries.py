@@ -159,6 +159,13 @@ def p6_screened(spark: SparkSession, d: str) -> DataFrame:
     return screen_items(*(table(tune(spark), d, t) for t in ("artifacts", "ingest_items")))
 
 
+def p6_increment(spark: SparkSession, d: str) -> DataFrame:
+    """The verdicts on the last batch, against an index to which the others have been appended before."""
+    from weft.llm.history import screen_increment
+
+    return screen_increment(*(table(tune(spark), d, t) for t in ("artifacts", "ingest_items")))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     from weft.llm.encoding import encode
 

@@ -1,65 +1,117 @@
 """Near-duplicate records by pivot distance tables.
 
-Each record is its set of word shingles. The fingerprint is the parity of the shingles in each of
-1,024 buckets, so the Hamming distance of two fingerprints never exceeds the symmetric difference of
-the sets. Jaccard similarity s or more means a symmetric difference of at most
-(1 - s) / (1 + s) * (|A| + |B|); thus every bound below that discards a pair is free of losses.
+Each record is its set of word shingles. Its fingerprint has a bit for every possible shingle hash, so the
+Hamming distance of two fingerprints is the symmetric difference of the sets, and Jaccard similarity s or
+more means a distance of at most (1 - s) / (1 + s) * (|A| + |B|). The pivots are ``PIVOTS`` reference
+fingerprints that hold each hash with chance 1/2; the distance of a fingerprint to a pivot, less the
+pivot's own weight, is the number of its shingles that the pivot lacks less those it has.
 
 1. Records with equal sets fall into one class; only classes are compared.
-2. Classes that share a MinHash band key meet (equi-join on the key; the chance to miss a pair at the
-   threshold 0.7 is below 1e-5 with 28 bands of 3 rows).
-3. The fingerprint is cut into 16 blocks; a table holds each block's Hamming distances to five
-   reference fingerprints (the pivots). By the triangle inequality the largest coordinate difference
-   of a block bounds that block's distance from below, and the sum over the blocks bounds the whole
-   distance. Pairs above the allowed distance are discarded, first by this table, then by the
-   fingerprints themselves.
+2. The range of hashes is cut into blocks, about 3 shingles in each, as many as the record's length class
+   says. A row of the pivot table holds a block's distances to all pivots. Wherever the sets agree in a
+   block, the maximum coordinate difference of its rows is zero, so classes that have the same row in one
+   of ``ROWS`` blocks are candidates (equi-join on the row's hash, with class and block). Sets of fewer
+   blocks are cut several times over, by other hashes. Each class is cut in the ways of its own and of the
+   next length class; so of two similar sets, the smaller is also cut in the larger one's way. A block is
+   untouched by the differences of a pair at the threshold with a chance of 0.33 or more, and none of 28
+   is with a chance below 2e-5.
+3. A coarser table, of blocks of about 40 shingles at every length, gives a lower bound of the distance:
+   by the triangle inequality a block's largest coordinate difference is at most the block's distance, and
+   the differences of all blocks add up. Pairs above the allowed distance are discarded. This is free of losses.
 4. The survivors' sets are compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from weft.llm.components import connected_components
-from weft.llm.shingles import MinHash, digest, grouped, jaccard, shingles
+from weft.llm.shingles import _mix, digest, grouped, jaccard, shingles
 from weft.runtime import stage
 
-BITS, BLOCKS, PIVOTS = 1024, 16, 5
-BANDS, ROWS = 28, 3
+PIVOTS, ROWS = 32, 28
+FINE, COARSE = 2.5, 35
 #: Members of a class are compared in blocks of about this many, so no task writes all pairs of a large one.
 BLOCK = 1000
 
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-# The first pivot is the empty fingerprint; the others are fixed pseudo-random ones.
-_pivots = np.random.default_rng(20).integers(0, 256, (BLOCKS, PIVOTS, BITS // BLOCKS // 8), dtype=np.uint8)
-_pivots[:, 0] = 0
-
-
-def fingerprint(s: np.ndarray) -> np.ndarray:
-    """Parity of the set in each bucket, packed into bytes."""
-    counts = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
-    return np.packbits((counts & 1).astype(np.uint8))
-
-
-def pivot_table(prints: np.ndarray) -> np.ndarray:
-    """Hamming distances of each fingerprint's blocks to the block's pivots, one row a fingerprint."""
-    blocks = prints.reshape(len(prints), BLOCKS, 1, -1)
-    return _POPCOUNT[blocks ^ _pivots[None]].sum(-1, dtype=np.uint8).reshape(len(prints), -1)
-
-
-def distance_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lower bound of the Hamming distances from two tables: maximum differences, summed over blocks."""
-    diff = np.abs(a.astype(np.int16) - b.astype(np.int16)).reshape(len(a), BLOCKS, PIVOTS)
-    return diff.max(-1).sum(-1)
-
-
-def _sketch(width: int, bands: int, rows: int):
+# Which pivots have a shingle: bits of its hash, mixed. A row's hash is linear in its coordinates.
+_WEIGHTS = np.random.default_rng(20).integers(0, 2**64, PIVOTS, dtype=np.uint64)
+
+
+class PivotTables:
+    """How sets are cut into blocks, and the pivot distances of the blocks, for a threshold."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold, self.step = threshold, math.log(1 / min(threshold, 0.95))
+
+    def way(self, n: int) -> int:
+        """The length class: one more for each factor 1 / threshold."""
+        return max(0, int(math.log(max(n, 3) / 3) / self.step + 1e-9))
+
+    def blocks(self, way: int, size: float) -> int:
+        return max(2, int(3 * math.exp(self.step * way) / size))
+
+    def cuts(self, way: int) -> int:
+        return max(1, -(-ROWS // self.blocks(way, FINE)))
+
+    @staticmethod
+    def coordinates(flat: np.ndarray, of: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(set, block, coordinates) of the non-empty blocks of sets laid end to end: ``of`` is the set of
+        each shingle, ``blocks`` the number of blocks of each shingle's set."""
+        place = ((flat >> np.uint64(32)) * blocks.astype(np.uint64)) >> np.uint64(32)
+        where = of.astype(np.int64) << 32 | place.astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        where = where[order]
+        first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        bits = np.unpackbits((_mix(flat[order]) >> np.uint64(32)).astype(np.uint32)[:, None].view(np.uint8), axis=1).astype(np.int16)
+        sums = np.add.reduceat(1 - 2 * bits, first, axis=0, dtype=np.int16)
+        return where[first] >> 32, where[first] & 0xFFFFFFFF, sums
+
+    def rows(self, sets: list[np.ndarray], ways: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, key) of the fine rows of each set in the given way."""
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        blocks, cuts = np.array([self.blocks(w, FINE) for w in ways]), np.array([self.cuts(w) for w in ways])
+        out = []
+        for cut in range(cuts.max()):
+            now = cuts[of] > cut
+            own, number = flat[now], of[now]
+            if cut:
+                own = _mix(own + np.uint64(cut * 0x9E3779B97F4A7C15 % 2**64))
+            early = ((own >> np.uint64(32)) * blocks[number].astype(np.uint64)) >> np.uint64(32) < ROWS
+            if not early.any():
+                continue
+            which, block, sums = self.coordinates(own[early], number[early], blocks[number[early]])
+            key = (sums.astype(np.int64).view(np.uint64) * _WEIGHTS).sum(1, dtype=np.uint64)
+            place = _mix((block.astype(np.uint64) << np.uint64(16)) + (np.uint64(cut) << np.uint64(8)) + ways[which].astype(np.uint64))
+            out.append((which, _mix(key ^ place).view(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def tables(self, sets: list[np.ndarray], ways: np.ndarray) -> list[bytes]:
+        """The coarse table of each set in the given way, a row of ``PIVOTS`` bytes a block. Coordinates
+        beyond a byte are cut off, which can only lower the differences."""
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        blocks = np.array([self.blocks(w, COARSE) for w in ways])
+        which, block, sums = self.coordinates(flat, of, blocks[of])
+        begin = np.concatenate(([0], np.cumsum(blocks)))
+        table = np.zeros((begin[-1], PIVOTS), np.int8)
+        table[begin[which] + block] = np.clip(sums, -127, 127)
+        return [table[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]
+
+
+def distance_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Lower bound of the Hamming distance from two tables: maximum differences, summed over blocks."""
+    return int(np.abs(a.astype(np.int16) - b.astype(np.int16)).reshape(-1, PIVOTS).max(1).sum())
+
+
+def _sketch(width: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash = MinHash(bands, rows)
+        cut = PivotTables(threshold)
         for batch in batches:
             kinds, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sets, kept, texts = [], [], []
@@ -71,12 +123,20 @@ def _sketch(width: int, bands: int, rows: int):
                     texts.append(hash_of(text.as_py()))
             if not kept:
                 continue
-            keys = np.concatenate([minhash.keys(sets[i:j]) for i, j in grouped(sets)])
-            for i, k in enumerate(kept):  # kinds never meet
-                if kinds[k] != "span":
-                    keys[i] ^= hash_of(kinds[k])
-            prints = np.stack([fingerprint(s) for s in sets])
-            table = pivot_table(prints)
+            ways = np.array([cut.way(len(s)) for s in sets])
+            which, keys, tables = [], [], [[], []]
+            for i, j in grouped(sets):
+                for after in (0, 1):
+                    w, k = cut.rows(sets[i:j], ways[i:j] + after)
+                    which.append(w + i)
+                    keys.append(k)
+                    tables[after] += cut.tables(sets[i:j], ways[i:j] + after)
+            which, keys = np.concatenate(which), np.concatenate(keys)
+            order = np.argsort(which, kind="stable")
+            which, keys = which[order], keys[order]
+            for name in {kinds[k] for k in kept} - {"span"}:  # kinds never meet
+                keys[np.array([kinds[k] == name for k in kept])[which]] ^= hash_of(name)
+            at = np.searchsorted(which, np.arange(len(kept) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([kinds[k] for k in kept], pa.string()),
@@ -84,24 +144,19 @@ def _sketch(width: int, bands: int, rows: int):
                     pa.array([digest(s) for s in sets], pa.int64()),
                     pa.array(texts, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.ListArray.from_arrays(np.arange(len(kept) + 1, dtype=np.int32) * bands, pa.array(keys.reshape(-1))),
-                    pa.array([x.tobytes() for x in table], pa.binary()),
-                    pa.array([x.tobytes() for x in prints], pa.binary()),
+                    pa.array(ways, pa.int32()),
+                    pa.ListArray.from_arrays(at, pa.array(keys)),
+                    pa.array(tables[0], pa.binary()),
+                    pa.array(tables[1], pa.binary()),
                 ],
-                ["kind", "id", "cid", "text_id", "n", "bands", "coords", "print"],
+                ["kind", "id", "cid", "text_id", "n", "way", "keys", "own_table", "next_table"],
             )
 
     return run
 
 
 def hash_of(text: str) -> np.int64:
-    import xxhash
-
-    return np.array(xxhash.xxh3_64_intdigest(text.encode()), np.uint64).view(np.int64)[()]
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    return np.array(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")), np.uint64).view(np.int64)[()]
 
 
 def _discard(threshold: float):
@@ -109,17 +164,13 @@ def _discard(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            col = {n: batch.column(n) for n in batch.schema.names}
-            total = col["n_a"].to_numpy().astype(np.int64) + col["n_b"].to_numpy()
+            total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
             most = np.floor(slack * total + 1e-9)
-            keep = distance_bound(_matrix(col["coords_a"], BLOCKS * PIVOTS), _matrix(col["coords_b"], BLOCKS * PIVOTS)) <= most
-            left = np.flatnonzero(keep)
-            if len(left):
-                a, b = _matrix(col["print_a"], BITS // 8)[left], _matrix(col["print_b"], BITS // 8)[left]
-                keep[left] = _POPCOUNT[a ^ b].sum(-1, dtype=np.int64) <= most[left]
-            yield batch.select(["kind", "cid_a", "cid_b", "rep_a", "rep_b"]).filter(pa.array(keep))
+            keep = [
+                distance_bound(np.frombuffer(a, np.int8), np.frombuffer(b, np.int8)) <= d
+                for a, b, d in zip(batch.column("table_a").to_pylist(), batch.column("table_b").to_pylist(), most)
+            ]
+            yield batch.select(["kind", "cid_a", "cid_b", "rep_a", "rep_b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -153,29 +204,49 @@ class NearDuplicates:
     Records given twice count once; equal sets form a class. Extra columns are ignored.
     """
 
-    def __init__(self, records: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> None:
+    def __init__(self, records: DataFrame, width: int = 5, threshold: float = 0.8) -> None:
         records = records.select(
             F.col("kind").cast("string").alias("kind"), F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text")
         ).filter("kind is not null and id is not null and text is not null")
-        shape = "kind string, id string, cid long, text_id long, n int, bands array<long>, coords binary, print binary"
-        self.sketch = stage(records.mapInArrow(_sketch(width, bands, rows), shape), "sketch")
-        classes = self.sketch.groupBy("kind", "cid").agg(
-            F.min("id").alias("rep"), F.first("n").alias("n"), F.first("coords").alias("coords"), F.first("print").alias("print")
-        )
-        keys = self.sketch.dropDuplicates(["kind", "cid"]).select("kind", "cid", "n", F.explode("bands").alias("key"))
-        a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "cid", "n"))) for s in "ab")
-        near = F.least("n_a", "n_b") >= F.floor(threshold * F.greatest("n_a", "n_b") - 1e-9)
+        shape = "kind string, id string, cid long, text_id long, n int, way int, keys array<long>, own_table binary, next_table binary"
+        self.sketch = stage(records.mapInArrow(_sketch(width, threshold), shape), "sketch")
+        classes = self.sketch.groupBy("kind", "cid").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "way", "own_table", "next_table")))  # equal in a class
+        classes = stage(classes, "classes")
+        rows = self.sketch.join(classes.select("kind", "cid", F.col("rep").alias("id")), ["kind", "cid", "id"], "left_semi").dropDuplicates(["kind", "cid"])
+        rows = rows.select("kind", "cid", "n", F.explode("keys").alias("key"))
+        # The two sides are one exchange, used twice; a key with very many rows is split by the adaptive skew join.
+        a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "cid", "n"))) for s in "ab")
+        near = F.least("n_a", "n_b") >= F.ceil(threshold * F.greatest("n_a", "n_b") - 1e-9)
         pairs = a.join(b, "key").filter((F.col("kind_a") == F.col("kind_b")) & (F.col("cid_a") < F.col("cid_b")) & near)
-        pairs = pairs.select(F.col("kind_a").alias("kind"), "cid_a", "cid_b").distinct()
+        #: Candidate pairs of classes: kind, cid_a, cid_b.
+        self.candidates = stage(pairs.select(F.col("kind_a").alias("kind"), "cid_a", "cid_b").distinct(), "candidates")
+        pairs = self.candidates
         for s in "ab":
-            pairs = pairs.join(classes.select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "rep", "n", "coords", "print"))), ["kind", f"cid_{s}"])
-        left = stage(pairs.mapInArrow(_discard(threshold), "kind string, cid_a long, cid_b long, rep_a string, rep_b string"), "left")
+            side = classes.select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "way")))
+            pairs = pairs.join(side, ["kind", f"cid_{s}"])
+        pairs = pairs.withColumn("way", F.greatest("way_a", "way_b")).drop("way_a", "way_b")
+        of_way = F.explode(F.array(*(F.struct((F.col("way") + k).alias("way"), F.col(t).alias("table")) for k, t in enumerate(("own_table", "next_table"))))).alias("t")
+        tables = classes.select("kind", "cid", "rep", "n", of_way).select("kind", "cid", "rep", "n", "t.way", "t.table")
         for s in "ab":
-            left = left.join(records.select("kind", F.col("id").alias(f"rep_{s}"), F.col("text").alias(f"text_{s}")), ["kind", f"rep_{s}"])
-        links = left.mapInArrow(_verify(width, threshold), "kind string, cid_a long, cid_b long, similarity double").dropDuplicates(["kind", "cid_a", "cid_b"])
+            pairs = pairs.join(tables.select("kind", "way", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "rep", "n", "table"))), ["kind", "way", f"cid_{s}"])
+        #: What the pivot tables leave: kind, cid_a, cid_b, rep_a, rep_b.
+        self.left = stage(pairs.mapInArrow(_discard(threshold), "kind string, cid_a long, cid_b long, rep_a string, rep_b string"), "left")
+        wanted = self.left.select("kind", F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
+        texts = stage(records.join(wanted, ["kind", "id"], "left_semi").distinct(), "texts")
+        both = self.left
+        for s in "ab":
+            both = both.join(texts.select("kind", F.col("id").alias(f"rep_{s}"), F.col("text").alias(f"text_{s}")), ["kind", f"rep_{s}"])
+        links = both.mapInArrow(_verify(width, threshold), "kind string, cid_a long, cid_b long, similarity double").dropDuplicates(["kind", "cid_a", "cid_b"])
         #: Links between classes: kind, cid_a, cid_b, similarity.
         self.links = stage(links, "links")
 
+    def steps(self) -> DataFrame:
+        """(kind, candidates, kept, links): pairs of classes that share a row of the pivot table, those
+        that the coarse table leaves, and those that are similar."""
+        parts = [df.groupBy("kind").agg(F.count("*").alias("n")).withColumn("step", F.lit(s)) for df, s in ((self.candidates, "candidates"), (self.left, "kept"), (self.links, "links"))]
+        both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return both.groupBy("kind").agg(*(F.coalesce(F.sum(F.when(F.col("step") == s, F.col("n"))), F.lit(0)).alias(s) for s in ("candidates", "kept", "links")))
+
     def members(self) -> DataFrame:
         """(kind, id, cid) of all records that have shingles."""
         return self.sketch.select("kind", "id", "cid").distinct()

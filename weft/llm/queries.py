@@ -24,6 +24,11 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return _p1(spark, d).groups()
 
 
+def p1_steps(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs of classes each step of the search leaves."""
+    return _p1(spark, d).steps()
+
+
 def _similar(spans: DataFrame, **options) -> DataFrame:
     from pyspark.sql import functions as F
 

@@ -1,4 +1,4 @@
-"""Word shingles as 64-bit hashes, MinHash rows and parity fingerprints, on numpy arrays.
+"""Word shingles as sets of 64-bit hashes, on numpy arrays.
 
 A word is a maximal run of ASCII letters and digits, lower-cased; a shingle is ``width`` words in a
 row. Shingles are represented by 64-bit hashes, so a set comparison is exact up to a chance of about
@@ -51,37 +51,6 @@ def shingles(text: str, width: int = 3) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-class MinHash:
-    """``bands`` keys for each set, each of ``rows`` minima.
-
-    Two sets of Jaccard similarity s share at least one key with chance 1 - (1 - s^rows)^bands.
-    """
-
-    def __init__(self, bands: int, rows: int, seed: int = 1) -> None:
-        rng = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
-        self.masks = rng.integers(0, 2**64, bands * rows, dtype=np.uint64)
-        self.odds = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def minima(self, sets: list[np.ndarray]) -> np.ndarray:
-        """One row of bands * rows minima for each non-empty set."""
-        flat = np.concatenate(sets)
-        starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-        out = np.empty((len(self.masks), len(sets)), np.uint64)
-        for k, (mask, odd) in enumerate(zip(self.masks, self.odds)):
-            out[k] = np.minimum.reduceat((flat ^ mask) * odd, starts)
-        return out.T
-
-    def keys(self, sets: list[np.ndarray], salt: int = 0) -> np.ndarray:
-        """One row of ``bands`` int64 keys for each non-empty set; the key holds its band's number."""
-        minima = _mix(self.minima(sets)).reshape(len(sets), self.bands, self.rows)
-        h = np.zeros((len(sets), self.bands), np.uint64)
-        for r in range(self.rows):
-            h = _mix(h * np.uint64(_SALTS[1]) + minima[:, :, r])
-        h = h + np.arange(self.bands, dtype=np.uint64) * np.uint64(_SALTS[2]) + np.uint64(salt)
-        return _mix(h).view(np.int64)
-
-
 def grouped(sets: list[np.ndarray], most: int = 60_000):
     """Index ranges of sets with about ``most`` shingles together: a range's arrays stay in cache."""
     begin = total = 0

@@ -10,9 +10,10 @@ class, and a segment is the substring of the symbols in one part. Insertions and
 leave it as it is, and shift no other segment, because segments begin at values, not at counts. The first
 ``SEGMENTS`` segments are stored under length class, position and contents. A new string could match
 stored ones of all lengths within the threshold, so for each of these length classes it is cut in the
-class's way, and the substrings at the stored positions are probed. Strings that share a segment are
-verified by their edit distance. A part has at most 3.6 symbols on average; at the threshold it is left
-whole with a chance of at least 0.2, and a pair shares none of 48 segments with a chance below 2e-5.
+class's way, and the substrings at the stored positions are probed. Strings that share two segments (one,
+if they are short) are verified by their edit distance. A part has at most 3.6 symbols on average; at the
+threshold it is left whole with a chance of at least 0.2, so a pair shares about 13 of 64 segments or more,
+and fewer than two with a chance below 1e-5.
 
 Segments, digests, paths and contents are stored in buckets, segments also by length class; a batch reads
 only the buckets its own keys fall into. What ``screen`` accepts can be appended at once.
@@ -38,7 +39,9 @@ from weft.llm.components import connected_components
 from weft.llm.shingles import _mix, digest as set_digest, shingles
 from weft.runtime import shared_dir, stage
 
-SEGMENTS, SYMBOLS = 48, 2.5
+SEGMENTS, SYMBOLS = 64, 2.5
+#: Strings share so many segments at least; shorter strings than ``SHORT`` one.
+SHARED, SHORT = 2, 20
 ROUNDS = 6
 BUCKETS = 8
 _BLANKS = r"(?U)^\s+|\s+$"
@@ -202,12 +205,12 @@ class SegmentIndex:
 
     def _accept(self, records: DataFrame) -> None:
         sketch = self.sketch(records, False)
-        first = sketch.groupBy("cid").agg(F.min("rid").alias("rid"))
+        first = stage(sketch.groupBy("cid").agg(F.min("rid").alias("rid")), "first")
         own = sketch.join(first, ["cid", "rid"], "left_semi")
         self._add("segments", own.select("cid", "n", F.explode(F.arrays_zip("keys", "parts")).alias("s")).select("cid", "n", F.col("s.keys").alias("key"), F.col("s.parts").alias("part")))
         self._add("digests", records.filter("digest is not null").select("digest", self._digest_bucket().alias("part")).distinct())
         self._add("places", records.filter("place is not null").select("place", self._bucket(F.col("place")).alias("part")).distinct())
-        self._add("contents", own.select("cid", "rid").join(records.select("rid", "content"), "rid").select("cid", "content", self._bucket(F.col("cid")).alias("part")))
+        self._add("contents", records.select("rid", "content").join(first, "rid").select("cid", "content", self._bucket(F.col("cid")).alias("part")))
 
     def _add(self, name: str, rows: DataFrame) -> None:
         rows.repartition("part").write.mode("append").option("compression", "zstd").partitionBy("part").parquet(f"{self.folder}/{name}")
@@ -223,14 +226,16 @@ class SegmentIndex:
 
     def _links(self, sketch: DataFrame, records: DataFrame) -> DataFrame:
         """(cid, other, old, new): similar classes of the batch and of history (old) or of the batch (new)."""
-        first = sketch.groupBy("cid").agg(F.min("rid").alias("rid"))
-        sketch = stage(sketch.join(first, ["cid", "rid"], "left_semi"), "first")
+        first = stage(sketch.groupBy("cid").agg(F.min("rid").alias("rid")), "first")
+        sketch = stage(sketch.join(first, ["cid", "rid"], "left_semi"), "own")
         probes = sketch.select("cid", "n", "way", F.explode(F.arrays_zip("keys", "parts")).alias("s")).select("cid", "n", "way", F.col("s.keys").alias("key"), F.col("s.parts").alias("part"))
         own = probes.filter(F.floor(F.col("part") / self.buckets) == F.col("way"))
         shape = ["key", F.col("cid").alias("other"), F.col("n").alias("m")]
         rest = self._get("segments", probes).select(*shape, F.lit(True).alias("old")).unionByName(own.select(*shape, F.lit(False).alias("old")))
         near = F.least("n", "m") >= F.ceil(self.threshold * F.greatest("n", "m") - 1e-9)
         pairs = probes.drop("part", "way").join(rest, "key").filter(near & (F.col("cid") != F.col("other")))
+        shared = F.when(F.least("n", "m") < SHORT, 1).otherwise(SHARED)
+        pairs = pairs.groupBy("cid", "other", "old").agg(F.count("*").alias("k"), F.first(shared).alias("least")).filter("k >= least")
         swapped = ~F.col("old") & (F.col("cid") > F.col("other"))  # pairs of the batch once
         pairs = pairs.select(F.when(swapped, F.col("other")).otherwise(F.col("cid")).alias("cid"), F.when(swapped, F.col("cid")).otherwise(F.col("other")).alias("other"), "old")
         pairs = stage(pairs.groupBy("cid", "other").agg(F.max("old").alias("old"), F.max(~F.col("old")).alias("new")), "pairs")

@@ -52,7 +52,10 @@ _OPEN = {**dict.fromkeys("([{（［【", "b"), "“": "d", "„": "d", "‘": "s
 _CLOSE = {**dict.fromkeys(")]}）］】", "b"), "”": "d", "’": "s", "»": "g", **dict.fromkeys("」』》〉", "c")}
 _ENDS = ".!?…。！？｡．؟۔।॥‼⁇⁈⁉"
 _STRONG, _CRIES = set("。！？｡．؟۔।॥"), set("!?…")
-_MARK = regex.compile(rf"(?P<end>[{_ENDS}]+)|(?P<open>[(\[{{（［【“„‘‚«「『《〈])|(?P<close>[)\]}}）］】”’»」』》〉])|(?P<quote>\")|(?P<thai>(?<=[฀-๿][​]?)\s+(?=[฀-๿\p{{Lu}}(\[“\"«]))")
+_MARKS_OF_ALL = rf"(?P<end>[{_ENDS}]+)|(?P<open>[(\[{{（［【“„‘‚«「『《〈])|(?P<close>[)\]}}）］】”’»」』》〉])|(?P<quote>\")"
+_MARK = re.compile(_MARKS_OF_ALL)
+_THAI = re.compile("[฀-๿]")
+_THAI_MARK = regex.compile(_MARKS_OF_ALL + r"|(?P<thai>(?<=[฀-๿][\u200b]?)\s+(?=[฀-๿\p{Lu}(\[“\"«]))")
 _CLOSERS = "”’»)]}）］】」』》〉\"“"
 _CASELESS = regex.compile(r"[\p{Lo}]")
 _SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
@@ -112,6 +115,7 @@ def _compile() -> tuple[np.ndarray, np.ndarray]:
 
 
 STEP, CUT = _compile()
+_OPENING = frozenset(i for i, name in enumerate(SYMBOLS) if name.startswith(("open", "first")))
 START = _NUMBER[(0,) * len(_KINDS) + (FRESH,)]
 _STEP_ROWS, _CUT_ROWS = STEP.tolist(), CUT.tolist()
 CHUNK = 2048
@@ -290,6 +294,20 @@ def _before(text: str, begin: int, at: int, shown: int, learned: frozenset[str])
     return _B["word"]
 
 
+def _plain_end(text: str, begin: int, marks: str, at: int, learned: frozenset[str]) -> bool:
+    """Whether a mark with a blank and a capital behind it is an end at first sight: the decision for
+    this combination of classes is the same whatever the rest is."""
+    if marks in "!?":
+        return True
+    if marks != "." or at > begin and text[at - 1].isspace():
+        return False
+    word = _WORD_BEFORE.match(text, begin, at)[0]
+    if len(word) < 5 or not word.isalpha():
+        return False
+    low = word.lower()
+    return low not in BEFORE_ANY and low not in BEFORE_LOWER and low not in TITLES and low not in learned
+
+
 def _ends(text: str, begin: int, marks: str, at: int, closed: int, end: int, learned: frozenset[str]) -> str:
     """What a terminator run at ``at`` is, its closing marks ending at ``closed``: '', sure or unlead."""
     nxt = _SPACE.match(text, closed, end).end()
@@ -339,7 +357,8 @@ def events(text: str, begin: int, end: int, learned: frozenset[str] = frozenset(
     quoted = doubled = single = False
     last = begin
     at = begin
-    while m := _MARK.search(text, at, end):
+    search = (_THAI_MARK if _THAI.search(text, begin, end) else _MARK).search
+    while m := search(text, at, end):
         i, at = m.start(), m.end()
         name = m.lastgroup
         if name == "open":
@@ -371,6 +390,10 @@ def events(text: str, begin: int, end: int, learned: frozenset[str] = frozenset(
             yield _CODE["sure"], i
             last = i
         else:
+            if text[at : at + 1] == " " and at + 1 < end and text[at + 1].isupper() and _plain_end(text, begin, m[0], i, learned):
+                yield _CODE["sure"], at
+                last = at
+                continue
             closed = at
             shut = []
             while closed < end:
@@ -435,7 +458,10 @@ def sentences(text: str, learned: frozenset[str] = frozenset()) -> list[tuple[in
     for start, body, end in blocks(text):
         symbols.append(_CODE["block"])
         cuts.append(start)
-        for symbol, at in _within(events(text, body, end, learned)) if body < end else ():
+        found = list(events(text, body, end, learned)) if body < end else []
+        if sum(symbol in _OPENING for symbol, _ in found) > 1:  # a pair inside another one
+            found = _within(found)
+        for symbol, at in found:
             symbols.append(symbol)
             cuts.append(at)
         symbols.append(_CODE["block"])
@@ -460,7 +486,20 @@ PART = 262_144
 LEAST, SHARE = 5, 0.75
 #: It also makes up this share of all words with a point, so at most a million are learned from any corpus.
 RARE = 1e-6
-_POINTED = re.compile(r"(?<![\w.])([^\W\d_]{1,4}(?:\.[^\W\d_]{1,4}){1,3}|[^\W\d_]{2,10})\.[ \t]*\n?[ \t]*(?<=\s)([^\W\d_])")
+_QUOTES = "([{\"'“„«‘‚「『¿¡*_"
+
+
+def pointed(text: str) -> Iterator[tuple[str, bool]]:
+    """(word, whether a small letter follows) of the words of up to 12 letters with a point and a blank
+    after them and a letter behind."""
+    pieces = text.replace(".\n", ". ").split(". ")
+    for before, after in itertools.pairwise(pieces):
+        c = after[:1]
+        small = c.islower()
+        if small or c.isupper():
+            word = before[before.rfind(" ") + 1 :].lstrip(_QUOTES)
+            if 1 < len(word) < 13 and word[-1] != "." and word.replace(".", "").isalpha():
+                yield word.lower(), small
 
 
 def parts(text: str, size: int = PART) -> Iterator[tuple[int, str]]:
@@ -487,11 +526,9 @@ def learn_abbreviations(documents: DataFrame) -> frozenset[str]:
         every: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0):
-                for word, after in _POINTED.findall(text.as_py()):
-                    if after.islower() or after.isupper():
-                        word = word.lower()
-                        every[word] += 1
-                        small[word] += after.islower()
+                for word, is_small in pointed(text.as_py()):
+                    every[word] += 1
+                    small[word] += is_small
             if len(every) > 200_000:
                 yield counts(every, small)
                 every.clear()

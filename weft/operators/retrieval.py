@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from weft.functions import vectors as V
 from weft.runtime import plain_columns
@@ -19,38 +20,48 @@ BLOCK = 2048
 TEXTS = 20_000
 
 
-def _blocks(queries: DataFrame, size: int) -> list[pd.DataFrame]:
-    """The query set in blocks of a bounded number of rows."""
-    rows = queries.toLocalIterator(prefetchPartitions=True)
-    out, part = [], []
-    for row in rows:
-        part.append(row)
+def _blocks(queries: DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    """The query set in blocks of a bounded number of rows, one at a time."""
+    part: list = []
+    for row in queries.toLocalIterator(prefetchPartitions=True):
+        part.append(tuple(row))
         if len(part) == size:
-            out.append(part)
+            yield pd.DataFrame(part, columns=queries.columns)
             part = []
     if part:
-        out.append(part)
-    return [pd.DataFrame([tuple(r) for r in p], columns=queries.columns) for p in out]
+        yield pd.DataFrame(part, columns=queries.columns)
+
+
+def _tie(vectors: DataFrame) -> Column:
+    """A text that sorts like artifact_id, start_line (null last) and id, as far as there are such columns."""
+    out = []
+    if "artifact_id" in vectors.columns:
+        out.append(F.coalesce(F.col("artifact_id").cast("string"), F.lit("\uffff")))
+    if "start_line" in vectors.columns:
+        out.append(F.coalesce(F.lpad((F.col("start_line").cast("long") + 2**31).cast("string"), 10, "0"), F.lit("~")))
+    if not out and dict(vectors.dtypes)["id"] in ("int", "bigint"):
+        return F.lpad((F.col("id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
+    return F.concat_ws("\x01", *out, F.col("id").cast("string"))
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score, rank): the k vectors most similar to each query, exactly.
 
-    ``queries`` has query_id and embedding, ``vectors`` id and embedding. Every pass scans the vectors
-    once against a block of queries by matrix products and keeps the k best of each partition, so that
-    only k rows a query and partition are shuffled. Scores are rounded to 9 digits before ranking; ties
-    are by id. Vectors of another length or with null or non-finite entries are left out, zero vectors
-    score 0.
+    ``queries`` has query_id and embedding, ``vectors`` id, embedding and, if at hand, artifact_id and
+    start_line. Every pass scans the vectors once against a block of queries by matrix products and keeps
+    the k best ids of each partition, so that only k rows a query and partition are shuffled. Scores are
+    rounded to 9 digits before ranking; ties are by artifact_id, start_line and id. Vectors of another length or with null
+    or non-finite entries are left out, zero vectors score 0. Of several rows of an id the best counts.
     """
     spark = vectors.sparkSession
-    rows = vectors.filter(V.usable(F.col("embedding"), dim)).select("id", "embedding")
+    rows = vectors.filter(V.usable(F.col("embedding"), dim)).select("id", "embedding", _tie(vectors).alias("tie"))
     id_type = dict(rows.dtypes)["id"]
     query_type = dict(queries.dtypes)["query_id"]
-    shape = f"query_id {query_type}, id {id_type}, score double"
+    shape = f"query_id {query_type}, id {id_type}, score double, tie string"
     parts = []
     for frame in _blocks(queries.select("query_id", "embedding").filter(V.usable(F.col("embedding"), dim)), block):
         q = np.array(frame["embedding"].tolist(), np.float64).reshape(len(frame), dim)
-        held = spark.sparkContext.broadcast((frame["query_id"].tolist(), _unit(q)))
+        held = spark.sparkContext.broadcast((frame["query_id"].tolist(), _unit(q)))  # at most a block of queries
 
         def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             names, q = held.value
@@ -58,19 +69,18 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int, block:
             for f in frames:
                 if len(f):
                     s = np.round(q @ _unit(np.array(f["embedding"].tolist(), np.float64).reshape(len(f), dim)).T, 9)
-                    best.add(s, f["id"].to_numpy())
-            at, ids, scores = best.take()
+                    best.add(s, f["id"].to_numpy(), f["tie"].to_numpy().astype("U"))
+            at, ids, ties, scores = best.take()
             if len(at):
-                yield pd.DataFrame({"query_id": [names[i] for i in at], "id": ids.astype(object) if ids.dtype.kind == "U" else ids, "score": scores})
+                yield pd.DataFrame({"query_id": [names[i] for i in at], "id": ids.astype(object) if ids.dtype.kind == "U" else ids, "score": scores, "tie": ties.astype(object)})
 
         parts.append(rows.mapInPandas(run, shape))
     if not parts:
-        return spark.createDataFrame([], shape + ", rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+        return spark.createDataFrame([], f"query_id {query_type}, id {id_type}, score double, rank int")
+    out = reduce(DataFrame.unionByName, parts)
+    best = out.groupBy("query_id", "id").agg(F.max(F.struct("score")).alias("s"), F.min("tie").alias("tie"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("s.score").desc(), "tie"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", "s.score", "rank")
 
 
 class _Best:
@@ -82,29 +92,31 @@ class _Best:
         self.parts: list[tuple] = []
         self.held = 0
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, scores: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> None:
         floor = self.least
-        if scores.shape[1] > self.k:
+        names = ids.astype("U") if ids.dtype == object else ids
+        if scores.shape[1] > self.k and len(np.unique(names)) == len(names):
             floor = np.maximum(floor, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
         q, j = np.nonzero(scores >= floor[:, None])
-        names = ids.astype("U") if ids.dtype == object else ids
-        self.parts.append((q, names[j], scores[q, j]))
+        self.parts.append((q, names[j], ties[j], scores[q, j]))
         self.held += len(q)
         if self.held > self.room:
             self.take()
 
     def take(self) -> tuple:
         if not self.parts:
-            return (np.empty(0, int),) * 3
-        q, ids, scores = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.lexsort((ids, -scores, q))
-        q, ids, scores = q[order], ids[order], scores[order]
+            return (np.empty(0, int),) * 4
+        q, ids, ties, scores = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ties, -scores, ids, q))  # the best row of each id
+        order = order[np.r_[True, (q[order][1:] != q[order][:-1]) | (ids[order][1:] != ids[order][:-1])]]
+        order = order[np.lexsort((ties[order], -scores[order], q[order]))]
+        q, ids, ties, scores = q[order], ids[order], ties[order], scores[order]
         first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
         place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
         keep = place < self.k
         last = place == self.k - 1
         self.least[q[last]] = scores[last]
-        self.parts = [(q[keep], ids[keep], scores[keep])]
+        self.parts = [(q[keep], ids[keep], ties[keep], scores[keep])]
         self.held = int(keep.sum())
         return self.parts[0]
 
@@ -119,9 +131,10 @@ def like_pattern(query: str) -> re.Pattern:
     return re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in query), re.S)
 
 
-def lexical_matches(queries: DataFrame, spans: DataFrame, block: int = TEXTS, carry: tuple[str, ...] = ()) -> DataFrame:
+def lexical_matches(queries: DataFrame, spans: DataFrame, block: int = TEXTS, carry: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """(query_id, id, *carry) of all spans (id, text, *carry) that contain the whole query, ASCII
-    letters compared without case, ``%`` and ``_`` being wildcards. Spans given twice count once.
+    letters compared without case, ``%`` and ``_`` being wildcards. Spans given twice count once. With
+    ``most``, each partition passes on only the first so many spans of a query by ``carry`` and id.
 
     One pass over the spans looks for a whole block of queries: an Aho-Corasick automaton finds the
     longest literal piece of each query, and a query with wildcards is then matched in full. Null and
@@ -151,6 +164,7 @@ def lexical_matches(queries: DataFrame, spans: DataFrame, block: int = TEXTS, ca
             if wanted:
                 automaton.make_automaton()
             patterns: dict[str, re.Pattern] = {}
+            kept = _First(most)
             for f in frames:
                 q, s = [], []
                 for i, text in enumerate(f["text"]):
@@ -164,20 +178,47 @@ def lexical_matches(queries: DataFrame, spans: DataFrame, block: int = TEXTS, ca
                                 continue
                         q.append(query_id)
                         s.append(i)
-                yield plain_columns(f[names]).iloc[s].assign(query_id=np.array(q, object))[["query_id", *names]]
+                found = plain_columns(f[names]).iloc[s].assign(query_id=np.array(q, object))[["query_id", *names]]
+                yield found if most is None else kept.add(found)
+            if most is not None:
+                if kept.held:
+                    yield kept.rest()
 
         parts.append(spans.filter("text is not null").select(*names, "text").mapInPandas(run, shape))
     if not parts:
         return spark.createDataFrame([], shape)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropDuplicates(["query_id", "id"])
+    return reduce(DataFrame.unionByName, parts).dropDuplicates(["query_id", "id"])
+
+
+class _First:
+    """The first rows of each query by the carried columns and id, over batches of matches."""
+
+    def __init__(self, most: int | None) -> None:
+        self.most, self.held, self.n = most, [], 0
+
+    def add(self, found: pd.DataFrame) -> pd.DataFrame:
+        self.held.append(found)
+        self.n += len(found)
+        if self.n > 100_000:
+            self.held = [self._cut()]
+            self.n = len(self.held[0])
+            if self.n > 50_000:  # very many queries: what is held leaves early
+                out, self.held, self.n = self.held[0], [], 0
+                return out
+        return found.iloc[:0]
+
+    def _cut(self) -> pd.DataFrame:
+        rows = pd.concat(self.held).drop_duplicates(["query_id", "id"])
+        order = [c for c in rows.columns if c not in ("query_id", "id")] + ["id"]
+        return plain_columns(rows.sort_values(order, na_position="last").groupby("query_id").head(self.most))
+
+    def rest(self) -> pd.DataFrame:
+        return self._cut() if self.held else pd.DataFrame()
 
 
 def lexical_topk(queries: DataFrame, spans: DataFrame, k: int = LEXICAL_K) -> DataFrame:
     """(query_id, id, rank): the first k matching spans by artifact, line and id."""
-    found = lexical_matches(queries, spans, carry=("artifact_id", "start_line"))
+    found = lexical_matches(queries, spans, carry=("artifact_id", "start_line"), most=k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("artifact_id", F.col("start_line").asc_nulls_last(), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", "rank")
 

@@ -358,8 +358,8 @@ def hardware_rating(t):
 
 
 # ---- retrieval, selection, compilation ------------------------------------------------------------
-_SEM = f""", qv AS (SELECT query_id, {_HASHED} AS v FROM req), sm AS (SELECT q.query_id, s.id, CASE WHEN list_sum(list_transform(CAST(s.embedding AS DOUBLE[]), lambda x: x * x)) > 0 THEN round({_COS.format(a='q.v', b='s.embedding')}, 9) ELSE 0 END AS score FROM qv q, (SELECT * FROM spv WHERE {_OK}) s),
-sem AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM sm) WHERE rank <= 50)"""
+_SEM = f""", qv AS (SELECT query_id, {_HASHED} AS v FROM req), sm AS (SELECT q.query_id, s.id, s.artifact_id, s.start_line, CASE WHEN list_sum(list_transform(CAST(s.embedding AS DOUBLE[]), lambda x: x * x)) > 0 THEN round({_COS.format(a='q.v', b='s.embedding')}, 9) ELSE 0 END AS score FROM qv q, (SELECT * FROM spv WHERE {_OK}) s),
+sem AS (SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, artifact_id, start_line NULLS LAST, id) AS INT) AS rank FROM sm) WHERE rank <= 50)"""
 _FUSED = _SEM + _LEXTOP + """, fu AS (SELECT query_id, id, sum(part) AS score FROM (SELECT query_id, id, 0.7::DOUBLE / (60 + rank - 1) AS part FROM sem UNION ALL SELECT query_id, id, 0.3::DOUBLE / (60 + rank - 1) FROM lex) GROUP BY 1, 2),
 fused AS (SELECT f.*, s.artifact_id, s.start_line, CAST(greatest(coalesce(s.token_count, 0), 0) AS BIGINT) AS tokens, q.budget, CAST(row_number() OVER (PARTITION BY f.query_id ORDER BY f.score DESC, s.artifact_id, s.start_line NULLS LAST, f.id) AS INT) AS rank FROM fu f JOIN sp s ON s.id = f.id JOIN req q ON q.query_id = f.query_id)"""
 

@@ -34,7 +34,7 @@ class Compiler:
     def __init__(self, spans: DataFrame, artifacts: DataFrame, config: Config = Config()) -> None:
         self.config = config
         self.spans = spans.filter("id is not null").select("id", "artifact_id", "start_line", "end_line", "text", "embedding", "token_count")
-        self.paths = artifacts.select(F.col("id").alias("artifact_id"), "path").dropDuplicates(["artifact_id"])
+        self.paths = artifacts.groupBy(F.col("id").alias("artifact_id")).agg(F.min("path").alias("path"))
 
     def requests(self, queries: DataFrame) -> DataFrame:
         budget = F.col("budget") if "budget" in queries.columns else F.lit(None)
@@ -48,7 +48,7 @@ class Compiler:
         of the candidate spans, so the later stages handle at most 70 rows a request.
         """
         c, requests, pg = self.config, self.requests(queries), self.config.profile == "pg"
-        vectors = self.spans.select("id", "embedding").filter(V.usable(F.col("embedding"), c.dimension)).dropDuplicates(["id"])
+        vectors = self.spans.select("id", "artifact_id", "start_line", "embedding")
         out = {"semantic": stage(retrieval.vector_topk(requests, vectors, retrieval.SEMANTIC_K, c.dimension), "semantic")}
         if until in out:
             return out
@@ -57,7 +57,9 @@ class Compiler:
             out["lexical"] = stage(retrieval.lexical_topk(requests, self.spans).withColumn("score", F.lit(None).cast("double")), "lexical")
             found = found.unionByName(out["lexical"].select("id"))
         tokens = F.greatest(F.coalesce(F.col("token_count"), F.lit(0)), F.lit(0)).cast("long")
-        held = self.spans.join(found.distinct(), "id", "left_semi").dropDuplicates(["id"]).withColumn("tokens", tokens).drop("token_count")
+        found = stage(found.distinct(), "found")  # small beside the spans: broadcast by its size, shuffled beyond
+        names = [n for n in self.spans.columns if n != "id"]
+        held = self.spans.join(found, "id", "left_semi").groupBy("id").agg(F.min(F.struct(*names)).alias("r")).select("id", "r.*").withColumn("tokens", tokens).drop("token_count")
         held = held.withColumn("embedding", F.when(V.usable(F.col("embedding"), c.dimension), F.col("embedding")))
         held = stage(held.join(self.paths, "artifact_id", "left").withColumn("path", F.coalesce("path", F.lit("unknown"))), "held")
         last = out["semantic"]

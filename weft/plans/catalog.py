@@ -161,7 +161,12 @@ def ingest_totals(t):
     return ingest.ingest_totals(artifacts_of(t))
 
 
-@query()
+@query(rf"""{WITH}, raw AS (SELECT id, regexp_split_to_array(content, '\r?\n') AS l FROM art WHERE content IS NOT NULL), cut AS (SELECT id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM raw),
+bl AS (SELECT id, l, len(l) AS n, list_transform(l, lambda x: regexp_matches(x, '^[\s\p{{Z}}\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}]*$')) AS blank FROM cut WHERE len(l) > 0),
+pc AS (SELECT id, CAST(0 AS BIGINT) AS pos, CASE WHEN n <= 50 THEN n ELSE coalesce(list_filter(range(25, 9, -1), lambda i: blank[i + 1])[1], 25) END AS stop FROM bl
+ UNION ALL SELECT p.id, p.stop, CASE WHEN b.n - p.stop <= 50 THEN b.n ELSE p.stop + coalesce(list_filter(range(25, 9, -1), lambda i: b.blank[p.stop + i + 1])[1], 25) END FROM pc p JOIN bl b ON b.id = p.id WHERE p.stop < b.n),
+out AS (SELECT p.id, p.pos, p.stop, array_to_string(b.l[p.pos + 1:p.stop], chr(10)) AS text FROM pc p JOIN bl b ON b.id = p.id)
+SELECT id AS artifact_id, CAST(pos + 1 AS INT) AS start_line, CAST(stop AS INT) AS end_line, sha256(text) AS text_hash, CAST(greatest(strlen(text) // 4, 1) AS BIGINT) AS token_count FROM out""")
 def chunk_spans_pg(t):
     return chunking.chunk_pg(artifacts_of(t)).select("artifact_id", "start_line", "end_line", F.sha2("text", 256).alias("text_hash"), "token_count")
 
@@ -378,7 +383,29 @@ def rrf_fusion(t):
     return compiler_of(t).stages(requests_of(t), "hybrid")["hybrid"].withColumn("score", F.round("score", 9))
 
 
-@query()
+_FINITE = "len({0}) = 64 AND NOT coalesce(list_contains(list_transform({0}, lambda e: isfinite(e)), false), false)"
+_PAIR = "CASE WHEN list_sum(list_transform(x, lambda e: e * e)) > 0 AND list_sum(list_transform(y, lambda e: e * e)) > 0 THEN list_cosine_similarity(x, y) WHEN x IS NOT NULL AND y IS NOT NULL THEN 0 END"
+
+
+def _mmr(source: str = "fused") -> str:
+    """Diversity re-ranking as a recursion: a row a query and step, with the places taken and each
+    candidate's greatest similarity to them."""
+    return f""", mv AS (SELECT f.query_id, f.id, f.score, f.rank, CASE WHEN {_FINITE.format('s.embedding')} THEN CAST(s.embedding AS DOUBLE[]) END AS v FROM {source} f JOIN (SELECT id, min(embedding) AS embedding FROM spv GROUP BY 1) s ON s.id = f.id),
+ml AS (SELECT query_id, list(id ORDER BY rank) AS ids, list(score ORDER BY rank) AS s, list(v ORDER BY rank) AS v, count(*) AS n FROM mv GROUP BY 1),
+mg AS (SELECT query_id, ids, s, n, list_transform(v, lambda x: list_transform(v, lambda y: {_PAIR})) AS g FROM ml),
+mr AS (SELECT query_id, 1 AS k, [CAST(1 AS BIGINT)] AS taken, g[1] AS close FROM mg
+ UNION ALL SELECT query_id, k + 1, list_append(taken, i), list_transform(range(1, n + 1), lambda j: greatest(close[j], g[i][j])) FROM (SELECT r.query_id, r.k, r.taken, r.close, m.n, m.g,
+ list_position(w, list_max(w)) AS i FROM (SELECT r.*, list_transform(range(1, m.n + 1), lambda j: CASE WHEN list_contains(r.taken, j) THEN '-inf'::DOUBLE ELSE round(0.5::DOUBLE * m.s[j] - 0.5::DOUBLE * coalesce(r.close[j], 0), 12) END) AS w
+ FROM mr r JOIN mg m USING (query_id) WHERE r.k < least(m.n, 30)) r JOIN mg m USING (query_id))),
+mt AS (SELECT query_id, taken FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k DESC) AS late FROM mr) WHERE late = 1),
+mmr AS (SELECT t.query_id, m.ids[u.i] AS id, m.s[u.i] AS score, CAST(u.k AS INT) AS rank FROM (SELECT query_id, unnest(taken) AS i, unnest(range(1, len(taken) + 1)) AS k FROM mt) u JOIN mt t USING (query_id) JOIN mg m USING (query_id))"""
+
+
+def _sized(source: str, budget: str = "q.budget") -> str:
+    return f""", sized AS (SELECT m.*, CAST(greatest(coalesce(s.token_count, 0), 0) AS BIGINT) AS tokens, CAST({budget} AS BIGINT) AS budget FROM {source} m JOIN sp s ON s.id = m.id JOIN req q ON q.query_id = m.query_id)"""
+
+
+@query(WITH + _FUSED + _mmr() + " SELECT query_id, id, round(score, 9) AS score, rank FROM mmr")
 def mmr_select(t):
     return compiler_of(t).stages(requests_of(t), "mmr")["mmr"].select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
@@ -392,7 +419,10 @@ def compile_context(t):
     return compiler_of(t, enable_mmr=False).compile(requests_of(t)).select("query_id", "n_spans", "tokens_used", "context_hash")
 
 
-@query()
+_MMR_COMPILED = WITH + _FUSED + _mmr() + _sized("mmr") + _packed(source="sized") + _cited()
+
+
+@query(_MMR_COMPILED + _OUT + " SELECT query_id, CAST(n_spans AS INT) AS n_spans, CAST(ceil(strlen(text) / 4) AS BIGINT) AS tokens_used, sha256(text) AS context_hash FROM sets")
 def compile_context_mmr(t):
     return compiler_of(t).compile(requests_of(t)).select("query_id", "n_spans", "tokens_used", "context_hash")
 
@@ -409,11 +439,6 @@ def stage_counts(t):
     return compiler_of(t, enable_mmr=False).explain(requests_of(t)).groupBy("query_id", "stage").agg(F.count("*").alias("n"))
 
 
-@query()
-def pg_compile(t):
-    return compiler_of(t, profile="pg").compile(requests_of(t)).select("query_id", "n_spans", "tokens_used", "context_hash")
-
-
 _PGSETS = WITH + _SEM + """, cand AS (SELECT m.query_id, m.id, m.rank, m.score, CAST(greatest(coalesce(s.token_count, 0), 0) AS BIGINT) AS tokens, q.budget FROM sem m JOIN sp s ON s.id = m.id JOIN req q ON q.query_id = m.query_id)""" + _packed(pg=True) + _cited("path")
 
 
@@ -422,6 +447,23 @@ def pg_compile_plain(t):
     return compiler_of(t, profile="pg", enable_mmr=False).compile(requests_of(t)).select("query_id", "n_spans", "tokens_used", "context_hash")
 
 
+_PG_MMR = f""", wv AS (SELECT m.query_id, m.id, m.score, m.rank, {_BAG.format("coalesce(s.text, '')")} AS bag, coalesce(a.path, 'unknown') || chr(1) || coalesce(CAST(s.start_line // 10 AS VARCHAR), '') AS spot FROM sem m JOIN sp s ON s.id = m.id LEFT JOIN art a ON a.id = s.artifact_id),
+wl AS (SELECT query_id, list(id ORDER BY rank) AS ids, list(score ORDER BY rank) AS s, list(bag ORDER BY rank) AS b, list(spot ORDER BY rank) AS spots, count(*) AS n FROM wv GROUP BY 1),
+wg AS (SELECT query_id, ids, s, spots, n, list_transform(b, lambda x: list_transform(b, lambda y: CASE WHEN len(x) + len(y) > 0 THEN len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) ELSE 0 END)) AS g FROM wl),
+wr AS (SELECT query_id, 0 AS k, CAST([] AS BIGINT[]) AS seen, CAST([] AS BIGINT[]) AS taken, list_transform(s, lambda x: 0::DOUBLE) AS close FROM wg
+ UNION ALL SELECT query_id, k + 1, list_append(seen, i), CASE WHEN fresh THEN list_append(taken, i) ELSE taken END, CASE WHEN fresh THEN list_transform(range(1, n + 1), lambda j: greatest(close[j], g[i][j])) ELSE close END
+ FROM (SELECT r.*, m.n, m.g, NOT list_contains(list_transform(r.taken, lambda j: m.spots[j]), m.spots[r.i]) AS fresh FROM (SELECT r.*, list_position(w, list_max(w)) AS i FROM (SELECT r.*, list_transform(range(1, m.n + 1), lambda j: CASE WHEN list_contains(r.seen, j) THEN '-inf'::DOUBLE ELSE round(0.5::DOUBLE * m.s[j] - 0.5::DOUBLE * r.close[j], 12) END) AS w
+ FROM wr r JOIN wg m USING (query_id) WHERE r.k < m.n AND len(r.taken) < 20) r) r JOIN wg m USING (query_id))),
+wt AS (SELECT query_id, taken FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k DESC) AS late FROM wr) WHERE late = 1),
+cand AS (SELECT u.query_id, m.ids[u.i] AS id, CAST(u.k AS INT) AS rank, m.s[u.i] AS score, CAST(greatest(coalesce(s.token_count, 0), 0) AS BIGINT) AS tokens, q.budget FROM (SELECT query_id, unnest(taken) AS i, unnest(range(1, len(taken) + 1)) AS k FROM wt) u JOIN wg m USING (query_id) JOIN sp s ON s.id = m.ids[u.i] JOIN req q ON q.query_id = u.query_id)"""
+_PG_OUT = f" SELECT q.query_id, coalesce(c.n, 0) AS n_spans, coalesce(c.used, 0) AS tokens_used, left(sha256(coalesce(c.text, '')), 24) AS context_hash FROM req q LEFT JOIN (SELECT query_id, CAST(count(*) AS INT) AS n, CAST(sum(tokens) AS BIGINT) AS used, string_agg({BLOCK_PG}, {GAP_PG} ORDER BY citation) AS text FROM cited GROUP BY 1) c USING (query_id)"
+
+
+@query(WITH + _SEM + _PG_MMR + _packed(pg=True) + _cited("path") + _PG_OUT)
+def pg_compile(t):
+    return compiler_of(t, profile="pg").compile(requests_of(t)).select("query_id", "n_spans", "tokens_used", "context_hash")
+
+
 @query(WITH + _cand() + _packed() + " SELECT query_id, id FROM packed")
 def pack_budget(t):
     return selection.pack(candidates_of(t))
@@ -748,12 +790,15 @@ def similarity_search_compiled(t):
     return compiler_of(t, enable_mmr=False).similarity_search(requests_of(t), 5).select("query_id", "id", F.col("citation").cast("int").alias("citation"))
 
 
-@query()
+_FIRST_CITED = " SELECT query_id, id, CAST(citation AS INT) AS citation FROM cited WHERE citation <= 5"
+
+
+@query(WITH + _FUSED + _mmr() + _sized("mmr", "10000") + _packed(source="sized") + _cited() + _FIRST_CITED)
 def similarity_search_mmr(t):
     return compiler_of(t).similarity_search(requests_of(t), 5).select("query_id", "id", F.col("citation").cast("int").alias("citation"))
 
 
-@query()
+@query(WITH + _FUSED + _mmr() + _sized("mmr", "20000") + _packed(source="sized") + _cited() + _FIRST_CITED)
 def mmr_search(t):
     return compiler_of(t).mmr_search(requests_of(t), 5).select("query_id", "id", F.col("citation").cast("int").alias("citation"))
 
@@ -767,7 +812,9 @@ def format_citations(t):
     return sets.select("query_id", *(adapters.format_citations(F.col("citations"), s).alias(s) for s in ("compact", "markdown", "verbose")))
 
 
-@query()
+@query(SETS + """, shown AS (SELECT s.*, CAST(ceil(strlen(text) / 4) AS BIGINT) AS used, coalesce((SELECT string_agg(chr(10) || '  - ' || c.path || ':' || c.start_line || '-' || c.end_line, '' ORDER BY c.citation) FROM cited c WHERE c.query_id = s.query_id AND c.citation <= 10), '') AS lines FROM sets s)
+SELECT query_id, 'Query: ' || coalesce(query, '') || chr(10) || 'Spans: ' || n_spans || chr(10) || 'Tokens Used: ' || format('{:,}', used) || chr(10) || 'Deterministic Hash: ' || left(sha256(text), 16) || '...' || chr(10) || chr(10) || 'Citations:' || lines
+ || CASE WHEN n_spans > 10 THEN chr(10) || '  ... and ' || (n_spans - 10) || ' more' ELSE '' END || chr(10) || chr(10) || 'Context:' || chr(10) || repeat('─', 60) || chr(10) || left(text, 500) || CASE WHEN length(text) > 500 THEN chr(10) || '...' ELSE '' END AS shown FROM shown""")
 def format_working_set(t):
     s = context.working_sets(cited_of(t), requests_of(t))
     return s.select("query_id", adapters.format_working_set(F.col("query"), F.col("citations"), F.col("tokens_used"), F.col("context_hash"), F.col("text")).alias("shown"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
+
+from weft.runtime import stage
 
 
 def diff(before: DataFrame, after: DataFrame, least: float = 0.001) -> DataFrame:
@@ -74,12 +76,15 @@ def evaluation_summary(results: DataFrame, latency: str | None = None) -> DataFr
 
 
 def order_statistics(counts: DataFrame) -> DataFrame:
-    """(p50, p99) of values v with counts c: the values at floor(n / 2) and min(floor(0.99 n), n - 1)."""
-    from pyspark.sql import Window as W
-
-    total = F.sum("c").over(W.partitionBy())
-    upto = F.sum("c").over(W.orderBy("v"))
-    ranked = counts.select("v", "c", total.alias("n"), upto.alias("upto"))
+    """(p50, p99) of values v with counts c: the values at floor(n / 2) and min(floor(0.99 n), n - 1).
+
+    The values are sorted by ranges; only one row a range is summed up in order, and each range then
+    counts on from there.
+    """
+    rows = stage(counts.select("v", "c").repartitionByRange("v").withColumn("p", F.spark_partition_id()), "ranges")
+    sums = rows.groupBy("p").agg(F.sum("c").alias("own"))  # a row a partition
+    sums = sums.select("p", (F.sum("own").over(W.orderBy("p")) - F.col("own")).alias("begin"), F.sum("own").over(W.partitionBy()).alias("n"))
+    ranked = rows.join(F.broadcast(sums), "p").withColumn("upto", F.col("begin") + F.sum("c").over(W.partitionBy("p").orderBy("v")))
     at = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))
     return ranked.agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.floor(F.col("n") * 0.99), F.col("n") - 1)).alias("p99"))
 

@@ -35,9 +35,16 @@ def token_histogram(spans: DataFrame) -> DataFrame:
 
 
 def spans_hash(spans: DataFrame) -> DataFrame:
-    """(artifact_id, n, spans_hash): changes when ids or vector lengths of an artifact's spans do."""
+    """(artifact_id, n, spans_hash): changes when ids or vector lengths of an artifact's spans do.
+
+    The spans of an artifact are hashed in up to 256 parts, by the hash of their ids, and the hash of the
+    artifact is that of its parts' hashes, so that no row holds all spans of a large artifact.
+    """
     entry = F.concat(F.col("id"), F.lit(":"), F.coalesce(F.size("embedding"), F.lit(0)).cast("string"))
-    return spans.groupBy("artifact_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("spans_hash"))
+    part = F.left(F.sha2("id", 256), F.lit(2))
+    parts = spans.groupBy("artifact_id", part.alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("h"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ",")
+    return parts.groupBy("artifact_id").agg(F.sum("n").alias("n"), F.sha2(whole, 256).alias("spans_hash"))
 
 
 def median_stats(rows: DataFrame, key: str, value: str) -> DataFrame:

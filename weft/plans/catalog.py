@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from weft.functions import labels, text as T, vectors as V
-from weft.operators import adapters, agents as A, audit, chunking, context, ingest, retrieval, selection, sessions as S, stats
+from weft.functions import labels, sql, text as T, vectors as V
+from weft.operators import adapters, agents as A, audit, chunking, context, embedding, index, ingest, manager, retrieval, selection, service, sessions as S, stats
 from weft.plans.compile import Compiler, Config
-from weft.runtime import table, tune
+from weft.runtime import shared_dir, table, tune
 from weft.sources import files
+from weft.sources.store import ParquetStore
 from weft.streaming import ingest as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,14 +227,22 @@ def project_files(t):
     return files.project_files(artifacts_of(t).select("path").distinct(), "rust").select("path")
 
 
-@query("""SELECT string_split(path, '/')[1] AS project, CASE WHEN max(CASE WHEN path LIKE '%.rs' THEN 1 ELSE 0 END) = 1 THEN 'rust' ELSE 'unknown' END AS project_type FROM artifacts GROUP BY 1""")
+_KINDS = {"py": "python", "rs": "rust", "go": "go", "java": "java", "js": "javascript", "rb": "ruby", "php": "php"}
+
+
+@query(f"""WITH k AS (SELECT string_split(path, '/')[1] AS project, split_part(path, '.', -1) AS ext FROM artifacts) SELECT project, CASE WHEN bool_or(ext = 'py') THEN 'python' WHEN bool_or(ext = 'ts') THEN 'typescript' WHEN bool_or(ext = 'js') THEN 'javascript'
+{" ".join(f"WHEN bool_or(ext = '{e}') THEN '{k}'" for e, k in sorted(_KINDS.items(), key=lambda x: ["rust", "go", "java", "cpp", "ruby", "php"].index(x[1]) if x[1] not in ("python", "javascript") else 99) if k not in ("python", "javascript"))} ELSE 'unknown' END AS project_type FROM k GROUP BY 1""")
 def project_types(t):
-    # the test paths hold no marker files: any .rs file stands for the marker of its folder
-    rows = artifacts_of(t).select(F.split("path", "/")[0].alias("project"), F.when(F.col("path").endswith(".rs"), "Cargo.toml").otherwise(F.col("path")).alias("path"))
-    return files.project_type(rows, "project")
+    # the test paths hold no marker files: a file's extension stands for the marker of its kind
+    marks = {e: files.MARKERS[k][0] for e, k in _KINDS.items()} | {"ts": "package.json"}
+    ext = F.element_at(F.split("path", "[.]"), -1)
+    name = F.coalesce(F.create_map(*(F.lit(x) for kv in marks.items() for x in kv))[ext], F.col("path"))
+    rows = artifacts_of(t).select(F.split("path", "/")[0].alias("project"), name.alias("path"), (ext == "ts").alias("typed"))
+    return files.project_type(rows, "project", F.col("typed"))
 
 
-@query(f"{WITH} SELECT artifact_id, count(*) AS n, sha256(string_agg(id || ':' || coalesce(len(embedding), 0), ',' ORDER BY id || ':' || coalesce(len(embedding), 0))) AS spans_hash FROM spv GROUP BY 1")
+@query(f"""{WITH}, e AS (SELECT artifact_id, left(sha256(id), 2) AS part, id || ':' || coalesce(len(embedding), 0) AS e FROM spv), p AS (SELECT artifact_id, part, count(*) AS n, sha256(string_agg(e, ',' ORDER BY e)) AS h FROM e GROUP BY 1, 2)
+SELECT artifact_id, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, ',' ORDER BY part)) AS spans_hash FROM p GROUP BY 1""")
 def spans_hash(t):
     return stats.spans_hash(spans_of(t, True))
 
@@ -496,10 +505,11 @@ def citations(t):
     return cited_of(t).select("query_id", "citation", "id", "path", "start_line", "end_line")
 
 
-@query(SETS + " SELECT query_id, 'cl100k_base' AS tokenizer, CAST(32 AS INT) AS m, CAST(20 AS INT) AS min_lines, sha256(text) AS context_hash FROM sets")
+@query(SETS + """ SELECT s.query_id, 'cl100k_base' AS tokenizer, CAST(32 AS INT) AS m, CAST(20 AS INT) AS min_lines, sha256(s.text) AS context_hash, coalesce(f.model, 'all-MiniLM-L6-v2') AS embedding_model, coalesce(f.dim, 384) AS embedding_dimension
+FROM sets s LEFT JOIN (SELECT c.query_id, min(v.model) AS model, min(CAST(len(v.embedding) AS INT)) AS dim FROM cited c JOIN spv v ON v.id = c.id WHERE c.citation = 1 GROUP BY 1) f USING (query_id)""")
 def manifest(t):
-    m = context.manifest(context.working_sets(cited_of(t), requests_of(t)))
-    return m.select("query_id", "manifest.tokenizer", "manifest.index.m", "manifest.chunking.min_lines", "manifest.context_hash")
+    m = context.manifest(context.working_sets(cited_of(t), requests_of(t)), spans_of(t, True))
+    return m.select("query_id", *(f"manifest.{c}" for c in ("tokenizer", "index.m", "chunking.min_lines", "context_hash", "embedding_model", "embedding_dimension")))
 
 
 # ---- sessions -------------------------------------------------------------------------------------
@@ -850,6 +860,159 @@ def json_output(t):
     return files.as_json(t("compile_requests").filter("token_budget is not null").select("id", "token_budget").distinct(), "id")
 
 
+# ---- indexes, embeddings, SQL functions, the session manager --------------------------------------
+def _vectors(t) -> tuple[DataFrame, DataFrame]:
+    vectors = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), vectors
+
+
+def _folder(df: DataFrame, name: str) -> str:
+    from uuid import uuid4
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weft-{name}-{uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+@query(SQL["cosine_topk_batch"])
+def index_exact(t):
+    """The exact index, saved, loaded and checked, gives what the search without one gives."""
+    asked, vectors = _vectors(t)
+    at = index.ExactIndex.load_or_build(vectors.sparkSession, _folder(vectors, "exact"), vectors, 64)
+    return at.search(asked, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def index_overlap(t):
+    """Whether the index over cells finds three quarters of the exact result, on average."""
+    asked, vectors = _vectors(t)
+    cells = index.CellIndex.load_or_build(vectors.sparkSession, _folder(vectors, "cells"), vectors, 64)
+    found = index.overlap(cells.search(asked, 10), retrieval.vector_topk(asked, vectors, 10, 64))
+    return found.agg(F.count("*").alias("queries"), (F.avg("overlap") >= 0.75).alias("enough"))
+
+
+@query(f"""{WITH}, h AS (SELECT id, model, text, CASE WHEN {_OK} THEN CAST(embedding AS DOUBLE[]) END AS old, {_HASHED.replace("query", "text")} AS v FROM spv)
+SELECT id, CASE WHEN old IS NOT NULL THEN model WHEN text IS NOT NULL THEN 'hash-64' END AS model, round(CASE WHEN old IS NOT NULL THEN old[1] WHEN text IS NOT NULL THEN v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))) END, 5) AS first FROM h""")
+def attach_embeddings(t):
+    out = embedding.attach(spans_of(t, True), embedding.hash_provider(64))
+    return out.select("id", "model", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
+
+
+@query(f"{WITH} SELECT id, CAST(ceil(strlen(text) / 4) AS BIGINT) AS tokens, round(CASE WHEN {_OK} AND list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0 THEN 1 ELSE 0 END, 6) AS self FROM spv WHERE text IS NOT NULL AND len(embedding) = 64 AND {_OK}")
+def sql_functions(t):
+    spans = spans_of(t, True).filter("text is not null").filter(V.usable(F.col("embedding"), 64))
+    sql.register(spans.sparkSession)
+    return spans.select("id", F.expr("estimate_tokens(text)").alias("tokens"), F.round(F.expr("cosine_similarity(embedding, embedding)"), 6).alias("self"))
+
+
+@query(f"{_CHUNKS} SELECT artifact_id, start_line, end_line, sha256(text) AS text_hash, CAST(ceil(strlen(text) / 4) AS BIGINT) AS token_count FROM chunks")
+def sql_extract_spans(t):
+    rows = artifacts_of(t).filter("content is not null").select(F.col("id").alias("artifact_id"), "content")
+    sql.register(rows.sparkSession)
+    cut = rows.sparkSession.sql("SELECT artifact_id, s.* FROM {rows}, LATERAL extract_spans(content) s", rows=rows)
+    return cut.select("artifact_id", "start_line", "end_line", F.sha2("text", 256).alias("text_hash"), "token_count")
+
+
+def manager_of(t, first_number: int = 0, **options) -> manager.SessionManager:
+    sessions = t("sessions").distinct()
+    store = ParquetStore(sessions.sparkSession, _folder(sessions, "sessions"))
+    made = manager.SessionManager(store, compiler_of(t, **options), first_number)
+    made.create_sessions(sessions)
+    return made
+
+
+def _spoken(first: int) -> str:
+    return f"""{WITH}, ok AS (SELECT *, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS late FROM msg WHERE role IN ('user', 'assistant', 'system', 'tool') AND session_id IN (SELECT id FROM ses))
+SELECT session_id, id, CAST({first} + row_number() OVER (PARTITION BY session_id ORDER BY late, created_at NULLS LAST, id) - 1 AS INT) AS sequence_number FROM ok"""
+
+
+def _added(t, first: int) -> DataFrame:
+    made, rows = manager_of(t, first), messages_of(t)
+    made.add_messages(rows.filter("role = 'user'"))
+    made.add_messages(rows.filter("role <> 'user'"))
+    return made.messages().select("session_id", "id", "sequence_number")
+
+
+@query(_spoken(0))
+def manager_messages(t):
+    """Messages added in two batches: users', then the others, numbered on."""
+    return _added(t, 0)
+
+
+@query(_spoken(1))
+def manager_messages_pg(t):
+    return _added(t, 1)
+
+
+_CHAT = "(SELECT min(id) FROM ses WHERE id IS NOT NULL)"
+
+
+def _chatted(t) -> manager.SessionManager:
+    made = manager_of(t, enable_mmr=False)
+    session = t("sessions").agg(F.min("id").alias("session_id"))  # one row
+    rows = t("compile_requests").distinct().select("id", F.col("query").alias("content"), F.coalesce("token_budget", F.lit(8000)).alias("budget"), "created_at").crossJoin(F.broadcast(session))
+    made.add_user_messages(rows)
+    return made
+
+
+@query(_COMPILED + _OUT + f", nm AS (SELECT id, row_number() OVER (ORDER BY created_at NULLS LAST, id) - 1 AS n FROM (SELECT DISTINCT id, created_at FROM compile_requests)) SELECT {_CHAT} AS session_id, s.query_id AS message_id, CAST(n AS INT) AS sequence_number, CAST(ceil(strlen(text) / 4) AS BIGINT) AS tokens_used, sha256(text) AS context_hash FROM sets s JOIN nm ON nm.id = s.query_id")
+def manager_user_messages(t):
+    """Requests added as user messages of one session: appended, compiled, and stored with their sets."""
+    made = _chatted(t)
+    numbers = made.messages().select(F.col("id").alias("message_id"), "sequence_number")
+    return made.working_sets().join(numbers, "message_id").select("session_id", "message_id", "sequence_number", "tokens_used", "context_hash")
+
+
+@query(f"SELECT id, CAST(CASE WHEN id = {_CHAT.replace('ses', 'sessions')} THEN (SELECT count(DISTINCT id) FROM compile_requests) ELSE 0 END AS INT) AS messages, CAST(CASE WHEN id = {_CHAT.replace('ses', 'sessions')} THEN (SELECT count(DISTINCT id) FROM compile_requests) ELSE 0 END AS INT) AS working_sets FROM (SELECT DISTINCT id FROM sessions WHERE id IS NOT NULL)")
+def manager_full(t):
+    full = _chatted(t).full()
+    return full.select("id", F.col("n_messages").alias("messages"), F.coalesce(F.size("working_sets"), F.lit(0)).alias("working_sets"))
+
+
+# ---- settings, projects, counters, other ways in -------------------------------------------------
+@query(f"{WITH} SELECT string_split(a.path, '/')[1] AS project, count(*) AS artifacts, CAST(sum(coalesce(n, 0)) AS BIGINT) AS spans, CAST(sum(coalesce(k, 0)) AS BIGINT) AS tokens FROM art a LEFT JOIN (SELECT artifact_id, count(*) AS n, sum(greatest(coalesce(token_count, 0), 0)) AS k FROM sp GROUP BY 1) s ON s.artifact_id = a.id GROUP BY 1")
+def project_catalog(t):
+    return service.project_catalog(artifacts_of(t), spans_of(t))
+
+
+@query("SELECT event_type, count(value) AS count, CAST(coalesce(sum(floor(abs(value))), 0) AS BIGINT) AS total_ms, CASE WHEN count(value) > 0 THEN CAST(floor(coalesce(sum(floor(abs(value))), 0) / count(value)) AS BIGINT) ELSE 0 END AS avg_ms FROM events GROUP BY 1")
+def compile_counters(t):
+    return service.counters(t("events").withColumn("value", F.abs("value")), "event_type", "value")
+
+
+@query(SETS + " SELECT query_id, sha256(text) AS answer FROM sets")
+def ask_without_model(t):
+    return service.ask(context.working_sets(cited_of(t), requests_of(t))).select("query_id", F.sha2("answer", 256).alias("answer"))
+
+
+@query("SELECT DISTINCT id, CASE WHEN backend LIKE 'postgres://%' OR backend LIKE 'postgresql://%' THEN 'postgres' ELSE 'sqlite' END AS kind, CASE WHEN backend LIKE 'postgres://%' OR backend LIKE 'postgresql://%' THEN backend WHEN backend LIKE 'sqlite:%' THEN substr(backend, 8) ELSE 'local.db' END AS place FROM (SELECT id, coalesce(backend, '') || CASE WHEN id < '8' THEN '://host/db' ELSE ':/x.db' END AS backend FROM compile_requests)")
+def storage_settings(t):
+    named = F.concat(F.coalesce("backend", F.lit("")), F.when(F.col("id") < "8", "://host/db").otherwise(":/x.db"))
+    return t("compile_requests").select("id", service.storage_kind(named, "local.db").alias("s")).distinct().select("id", "s.*")
+
+
+@query("SELECT DISTINCT id, coalesce(token_budget, 8000) AS token_budget, true AS enable_mmr, 0.5::DOUBLE AS mmr_lambda, CAST(50 AS INT) AS candidate_limit FROM compile_requests")
+def pg_settings(t):
+    given = F.to_json(F.struct("token_budget", F.lit("x").alias("other")))
+    return t("compile_requests").select("id", service.pg_config(given).alias("c")).distinct().select("id", "c.*")
+
+
+@query(WITH + _SEM + " SELECT m.query_id, m.rank, m.id AS span_id, a.path AS artifact_path, round(m.score, 6) AS score FROM sem m JOIN sp s ON s.id = m.id LEFT JOIN art a ON a.id = s.artifact_id WHERE m.rank <= 10")
+def search_spans_pg(t):
+    asked = requests_of(t).select("query_id", V.hash_embedding(F.coalesce("query", F.lit("")), 64).alias("embedding"))
+    found = service.search_spans(asked, spans_of(t, True), artifacts_of(t))
+    of = lambda k: F.get_json_object("result", f"$.{k}")
+    return found.select("query_id", "rank", of("span_id").alias("span_id"), of("artifact_path").alias("artifact_path"), F.round(of("score").cast("double"), 6).alias("score"))
+
+
+@query(f"{WITH}, d AS ({_DOOMED}) SELECT (SELECT count(*) FROM art) AS artifacts, count(*) AS spans FROM sp WHERE artifact_id IS NULL OR artifact_id NOT IN (SELECT id FROM d)")
+def delete_spans_pg(t):
+    left = service.delete_spans(spans_of(t), _doomed(t)).agg(F.count("*").alias("spans"))
+    return artifacts_of(t).agg(F.count("*").alias("artifacts")).crossJoin(left)  # one row each
+
+
 # ---- events and general checks --------------------------------------------------------------------
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def event_windows(t):
@@ -869,16 +1032,5 @@ def json_paths(t):
     return t("events").groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2""")
-def pricing_summary(t):
-    return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
-
-
-@query("""SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
-def orders_by_nation(t):
-    j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return QUERIES["compile_context_mmr"](spark, d)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from copy import copy
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from weft.functions import vectors as V
+from weft.functions import text as T, vectors as V
 from weft.operators import context, retrieval, selection
 from weft.runtime import stage
 
@@ -28,11 +29,11 @@ class Compiler:
 
     ``spans`` has id, artifact_id, start_line, end_line, text, embedding, token_count; ``artifacts`` id
     and path. A request without an embedding column gets the hash embedding of its text; a null budget
-    is the configuration's. Null token counts count as 0.
+    is the configuration's. Null token counts count as 0. ``count`` counts the tokens of a finished text.
     """
 
-    def __init__(self, spans: DataFrame, artifacts: DataFrame, config: Config = Config()) -> None:
-        self.config = config
+    def __init__(self, spans: DataFrame, artifacts: DataFrame, config: Config = Config(), count: Callable[[Column], Column] = T.estimate_tokens) -> None:
+        self.config, self.count = config, count
         self.spans = spans.filter("id is not null").select("id", "artifact_id", "start_line", "end_line", "text", "embedding", "token_count")
         self.paths = artifacts.groupBy(F.col("id").alias("artifact_id")).agg(F.min("path").alias("path"))
 
@@ -83,7 +84,7 @@ class Compiler:
 
     def compile(self, queries: DataFrame) -> DataFrame:
         """One working set a request."""
-        return context.working_sets(self.stages(queries)["final"], self.requests(queries), self.config.profile == "pg")
+        return context.working_sets(self.stages(queries)["final"], self.requests(queries), self.config.profile == "pg", self.count)
 
     def similarity_search(self, queries: DataFrame, k: int = 4) -> DataFrame:
         """The first ``k`` citations in canonical order of each request's compilation to 2,000 * k tokens;

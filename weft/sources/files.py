@@ -10,9 +10,9 @@ from weft.functions.text import extension
 
 # Names that a scan skips, marker files, patterns, extensions and limits.
 SKIP = (
-    ".git .svn .hg node_modules .node_modules venv .venv env .env __pycache__ .pytest_cache target build dist out .next .cache .tox vendor "
-    ".bundle .idea .vscode .vs"
-).split()
+    ".git", ".svn", ".hg", "node_modules", ".node_modules", "venv", ".venv", "env", ".env", "__pycache__", ".pytest_cache", "target", "build", "dist", "out", ".next",
+    ".cache", ".tox", "vendor", ".bundle", ".idea", ".vscode", ".vs",
+)
 MARKERS = {
     "python": ("pyproject.toml", "setup.py", "requirements.txt"), "javascript": ("package.json",), "rust": ("Cargo.toml",), "go": ("go.mod",),
     "java": ("pom.xml", "build.gradle"), "cpp": ("Makefile", "CMakeLists.txt"), "ruby": ("Gemfile",), "php": ("composer.json",),
@@ -65,6 +65,17 @@ def project_files(files: DataFrame, kind: str, per_pattern: int = PER_PATTERN, m
     return rows.withColumn("n", rank).filter(F.col("n") <= per_pattern).orderBy("path").limit(most).drop("n")
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 1, **options: str) -> DataFrame:
+    """A table of a database. With a whole-number ``key`` it is read in ``parts`` ranges of it, side by side."""
+    base = spark.read.format("jdbc").options(url=url, **options)
+    if key is None or parts < 2:
+        return base.option("dbtable", table).load()
+    low, high = base.option("query", f"SELECT MIN({key}) AS LOW, MAX({key}) AS HIGH FROM {table}").load().first()
+    if low is None:
+        return base.option("dbtable", table).load()
+    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(parts), **options).load()
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden queries (query, expected_paths, k) from a JSON array."""
     return spark.read.schema("query string, expected_paths array<string>, k int").json(path, multiLine=True)

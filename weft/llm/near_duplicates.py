@@ -10,11 +10,11 @@ pivot's own weight, is the number of its shingles that the pivot lacks less thos
 2. The range of hashes is cut into blocks, about 3 shingles in each, as many as the record's length class
    says. A row of the pivot table holds a block's distances to all pivots. Wherever the sets agree in a
    block, the maximum coordinate difference of its rows is zero, so classes that have the same row in one
-   of ``ROWS`` blocks are candidates (equi-join on the row's hash, with class and block). Sets of fewer
-   blocks are cut several times over, by other hashes. Each class is cut in the ways of its own and of the
-   next length class; so of two similar sets, the smaller is also cut in the larger one's way. A block is
-   untouched by the differences of a pair at the threshold with a chance of 0.33 or more, and none of 28
-   is with a chance below 2e-5.
+   of ``ROWS`` blocks are candidates (equi-join on the row's hash, with class and block). Rows of a single
+   shingle are left out. Sets of fewer blocks are cut several times over, by other hashes. Each class is
+   cut in the ways of its own and of the next length class; so of two similar sets, the smaller is also
+   cut in the larger one's way. A block has two shingles or more and is untouched by the differences of a
+   pair at the threshold with a chance of 0.24 or more, and none of 40 is with a chance below 2e-5.
 3. A coarser table, of blocks of about 40 shingles at every length, gives a lower bound of the distance:
    by the triangle inequality a block's largest coordinate difference is at most the block's distance, and
    the differences of all blocks add up. Pairs above the allowed distance are discarded. This is free of losses.
@@ -35,7 +35,7 @@ from weft.llm.components import connected_components
 from weft.llm.shingles import _mix, digest, grouped, jaccard, shingles
 from weft.runtime import stage
 
-PIVOTS, ROWS = 32, 28
+PIVOTS, ROWS = 32, 40
 FINE, COARSE = 2.5, 35
 #: Members of a class are compared in blocks of about this many, so no task writes all pairs of a large one.
 BLOCK = 1000
@@ -61,8 +61,8 @@ class PivotTables:
         return max(1, -(-ROWS // self.blocks(way, FINE)))
 
     @staticmethod
-    def coordinates(flat: np.ndarray, of: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(set, block, coordinates) of the non-empty blocks of sets laid end to end: ``of`` is the set of
+    def coordinates(flat: np.ndarray, of: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(set, block, size, coordinates) of the non-empty blocks of sets laid end to end: ``of`` is the set of
         each shingle, ``blocks`` the number of blocks of each shingle's set."""
         place = ((flat >> np.uint64(32)) * blocks.astype(np.uint64)) >> np.uint64(32)
         where = of.astype(np.int64) << 32 | place.astype(np.int64)
@@ -71,7 +71,7 @@ class PivotTables:
         first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
         bits = np.unpackbits((_mix(flat[order]) >> np.uint64(32)).astype(np.uint32)[:, None].view(np.uint8), axis=1).astype(np.int16)
         sums = np.add.reduceat(1 - 2 * bits, first, axis=0, dtype=np.int16)
-        return where[first] >> 32, where[first] & 0xFFFFFFFF, sums
+        return where[first] >> 32, where[first] & 0xFFFFFFFF, np.diff(np.r_[first, len(where)]), sums
 
     def rows(self, sets: list[np.ndarray], ways: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(set, key) of the fine rows of each set in the given way."""
@@ -86,18 +86,20 @@ class PivotTables:
             early = ((own >> np.uint64(32)) * blocks[number].astype(np.uint64)) >> np.uint64(32) < ROWS
             if not early.any():
                 continue
-            which, block, sums = self.coordinates(own[early], number[early], blocks[number[early]])
+            which, block, size, sums = self.coordinates(own[early], number[early], blocks[number[early]])
+            full = size >= 2  # a single shingle is too common
+            which, block, sums = which[full], block[full], sums[full]
             key = (sums.astype(np.int64).view(np.uint64) * _WEIGHTS).sum(1, dtype=np.uint64)
             place = _mix((block.astype(np.uint64) << np.uint64(16)) + (np.uint64(cut) << np.uint64(8)) + ways[which].astype(np.uint64))
             out.append((which, _mix(key ^ place).view(np.int64)))
-        return tuple(np.concatenate(x) for x in zip(*out))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
 
     def tables(self, sets: list[np.ndarray], ways: np.ndarray) -> list[bytes]:
         """The coarse table of each set in the given way, a row of ``PIVOTS`` bytes a block. Coordinates
         beyond a byte are cut off, which can only lower the differences."""
         flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         blocks = np.array([self.blocks(w, COARSE) for w in ways])
-        which, block, sums = self.coordinates(flat, of, blocks[of])
+        which, block, _, sums = self.coordinates(flat, of, blocks[of])
         begin = np.concatenate(([0], np.cumsum(blocks)))
         table = np.zeros((begin[-1], PIVOTS), np.int8)
         table[begin[which] + block] = np.clip(sums, -127, 127)

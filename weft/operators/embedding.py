@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weft.functions import labels, vectors as V
+from weft.runtime import plain_columns
 
 #: A function from a list of texts to an (n, dim) array; it is called in batches, once a worker per partition.
 Encoder = Callable[[list[str]], np.ndarray]
@@ -87,13 +88,14 @@ def embed(rows: DataFrame, text: str, chosen: Provider, into: str = "embedding")
         encode = load()
         for f in frames:
             here = f[text].notna().to_numpy()
-            out = np.full(len(f), None, object)
+            out: list = [None] * len(f)
             if here.any():
                 found = np.asarray(encode(f[text][here].tolist()), np.float32)
                 if found.shape != (int(here.sum()), dim):
                     raise ValueError(f"the encoder gave {found.shape}, not {(int(here.sum()), dim)}")
-                out[here] = list(found)
-            yield f.assign(**{into: out})
+                for i, v in zip(np.flatnonzero(here), found):
+                    out[i] = v
+            yield plain_columns(f).assign(**{into: pd.Series(out, f.index, dtype=object)})
 
     shape = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{into}` array<float>"
     return rows.mapInPandas(run, shape)

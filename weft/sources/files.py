@@ -67,12 +67,12 @@ def project_files(files: DataFrame, kind: str, per_pattern: int = PER_PATTERN, m
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 1, **options: str) -> DataFrame:
     """A table of a database. With a whole-number ``key`` it is read in ``parts`` ranges of it, side by side."""
-    base = spark.read.format("jdbc").options(url=url, **options)
+    whole = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
     if key is None or parts < 2:
-        return base.option("dbtable", table).load()
-    low, high = base.option("query", f"SELECT MIN({key}) AS LOW, MAX({key}) AS HIGH FROM {table}").load().first()
+        return whole
+    low, high = whole.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return base.option("dbtable", table).load()
+        return whole
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(parts), **options).load()
 
 

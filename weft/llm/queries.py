@@ -114,6 +114,13 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_corpus(*(table(tune(spark), d, t) for t in ("spans", "artifacts")))
 
 
+def p4_check(spark: SparkSession, d: str) -> DataFrame:
+    """Every oversized item is covered to its end by pieces within the limits that overlap."""
+    from weft.llm.splitting import faults
+
+    return faults(p4_pieces(spark, d))
+
+
 def p5_bins(spark: SparkSession, d: str) -> DataFrame:
     """The container of every candidate span of every request; split spans have several rows."""
     from weft.llm.packing import pack_items, request_items
@@ -254,6 +261,8 @@ f AS (SELECT session, CASE WHEN bool_or(speaker IS NULL) THEN 'unknown role' WHE
 SELECT session AS conversation_id, turn_no, id AS message_id, fault FROM x JOIN f USING (session)""",
     "p4_found": """SELECT DISTINCT 'artifact' AS kind, id AS item_id FROM artifacts WHERE length(content) > 12000 UNION ALL
 SELECT DISTINCT 'span', id FROM spans WHERE length(text) > 2000 OR length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END > 40""",
+    "p4_check": """SELECT kind, item_id, CAST(length(text) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS overlong, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS apart FROM (SELECT DISTINCT 'artifact' AS kind, id AS item_id, content AS text FROM artifacts WHERE length(content) > 12000 UNION ALL
+SELECT DISTINCT 'span', id, text FROM spans WHERE length(text) > 2000 OR length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END > 40)""",
     "p5_found": """SELECT DISTINCT r.request_id, r.span_id FROM request_spans r JOIN compile_requests q ON q.id = r.request_id JOIN spans s ON s.id = r.span_id WHERE s.token_count > coalesce(q.token_budget, 8000) AND s.token_count > 0""",
     "p5_check": _P5,
     "p5_apart_check": _P5,

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+")
 _HEADING = re.compile(r"\s*(#{1,6}\s|=+\s*$|-{3,}\s*$|\[[^\]]*\]\s*$)")
@@ -42,6 +42,19 @@ class Limits:
     least_fill: float = 0.5
 
 
+class _Places(dict):
+    """Counting place of each word, kept for words that come again; emptied when it grows too large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        value = self[word] = xxhash.xxh32_intdigest(word) % _WIDE
+        return value
+
+
+_place = _Places()
+
+
 def _terms(line: str) -> list[int]:
     out: list[str] = []
     for word in _TOKENS.findall(line.lower()):
@@ -49,7 +62,7 @@ def _terms(line: str) -> list[int]:
             out.extend(word[i : i + 2] for i in range(max(1, len(word) - 1)))
         elif len(word) > 2:
             out.append(word)
-    return [xxhash.xxh32_intdigest(w) % _WIDE for w in out]
+    return [_place[w] for w in out]
 
 
 def cohesion(lines: list[str], block: int) -> np.ndarray:
@@ -58,10 +71,11 @@ def cohesion(lines: list[str], block: int) -> np.ndarray:
     out = np.ones(n + 1)
     for begin in range(0, n, _CHUNK):  # long texts in slices that overlap by a block
         low, high = max(0, begin - block), min(n, begin + _CHUNK + block)
-        counts = np.zeros((high - low + 1, _WIDE), np.float32)
-        for i in range(low, high):
-            np.add.at(counts[i - low + 1], _terms(lines[i]), 1)
-        sums = counts.cumsum(0)
+        terms = [_terms(lines[i]) for i in range(low, high)]
+        row = np.repeat(np.arange(1, high - low + 1), [len(t) for t in terms])
+        column = np.fromiter((x for t in terms for x in t), np.int64, len(row))
+        counts = np.bincount(row * _WIDE + column, minlength=(high - low + 1) * _WIDE).reshape(-1, _WIDE)
+        sums = counts.cumsum(0, dtype=np.float32)
         gaps = np.arange(max(begin, 1), min(n, begin + _CHUNK))
         if len(gaps):
             left = sums[gaps - low] - sums[np.maximum(gaps - block, low) - low]
@@ -212,3 +226,18 @@ def split_corpus(spans: DataFrame, artifacts: DataFrame) -> DataFrame:
     fits = (F.col("start_line") > 0) & (F.col("end_line") - F.col("start_line") + 1 == n_lines)
     parts = spans.select(F.lit("span").alias("kind"), F.col("id").alias("item_id"), "text", F.when(fits, F.col("start_line")).alias("from_line"))
     return split_items(whole, ARTIFACT).unionByName(split_items(parts, SPAN))
+
+
+def faults(pieces: DataFrame) -> DataFrame:
+    """(kind, item_id, chars, overlong, gaps, apart) of each item of ``split_corpus``: the characters up to
+    the last piece's end, the pieces beyond a limit, those that begin behind the end of the one before, and
+    those that repeat nothing of it."""
+    before = F.lag("end_char").over(W.partitionBy("kind", "item_id").orderBy("piece_no"))
+    limit = F.when(F.col("kind") == "span", SPAN.max_chars).otherwise(ARTIFACT.max_chars)
+    lines = (F.col("kind") == "span") & (F.col("end_line") - F.col("start_line") + 1 > SPAN.max_lines)
+    rows = pieces.select(
+        "kind", "item_id", "end_char", ((F.length("text") > limit) | lines | (F.length("text") != F.col("end_char") - F.col("start_char"))).alias("over"),
+        F.coalesce(F.col("start_char") > before, F.col("start_char") > 0).alias("gap"), F.coalesce(F.col("start_char") >= before, F.lit(False)).alias("apart"),
+    )
+    count = lambda c: F.sum(F.col(c).cast("int")).alias
+    return rows.groupBy("kind", "item_id").agg(F.max("end_char").alias("chars"), count("over")("overlong"), count("gap")("gaps"), count("apart")("apart"))

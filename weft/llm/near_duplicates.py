@@ -214,18 +214,17 @@ class NearDuplicates:
         self.sketch = stage(records.mapInArrow(_sketch(width, threshold), shape), "sketch")
         classes = self.sketch.groupBy("kind", "cid").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "way", "own_table", "next_table")))  # equal in a class
         classes = stage(classes, "classes")
-        rows = self.sketch.join(classes.select("kind", "cid", F.col("rep").alias("id")), ["kind", "cid", "id"], "left_semi").dropDuplicates(["kind", "cid"])
-        rows = rows.select("kind", "cid", "n", F.explode("keys").alias("key"))
-        # The two sides are one exchange, used twice; a key with very many rows is split by the adaptive skew join.
-        a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("kind", "cid", "n"))) for s in "ab")
+        rows = self.sketch.groupBy("kind", "cid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("cid", "n", F.explode("keys").alias("key"))
+        # The two sides are one exchange, used twice; a key with very many rows is split by the adaptive skew
+        # join. Keys hold the kind, so kinds do not meet here.
+        a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "n"))) for s in "ab")
         near = F.least("n_a", "n_b") >= F.ceil(threshold * F.greatest("n_a", "n_b") - 1e-9)
-        pairs = a.join(b, "key").filter((F.col("kind_a") == F.col("kind_b")) & (F.col("cid_a") < F.col("cid_b")) & near)
-        #: Candidate pairs of classes: kind, cid_a, cid_b.
-        self.candidates = stage(pairs.select(F.col("kind_a").alias("kind"), "cid_a", "cid_b").distinct(), "candidates")
-        pairs = self.candidates
-        for s in "ab":
-            side = classes.select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "way")))
-            pairs = pairs.join(side, ["kind", f"cid_{s}"])
+        pairs = a.join(b, "key").filter((F.col("cid_a") < F.col("cid_b")) & near).select("cid_a", "cid_b").distinct()
+        # Two sets that both kinds have are candidates in both: only the sets decide.
+        for s, key in (("a", ["cid_a"]), ("b", ["kind", "cid_b"])):
+            pairs = pairs.join(classes.select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "way"))), key)
+        #: Candidate pairs of classes: kind, cid_a, cid_b and their length classes.
+        self.candidates = pairs = stage(pairs.select("kind", "cid_a", "cid_b", "way_a", "way_b"), "candidates")
         pairs = pairs.withColumn("way", F.greatest("way_a", "way_b")).drop("way_a", "way_b")
         of_way = F.explode(F.array(*(F.struct((F.col("way") + k).alias("way"), F.col(t).alias("table")) for k, t in enumerate(("own_table", "next_table"))))).alias("t")
         tables = classes.select("kind", "cid", "rep", "n", of_way).select("kind", "cid", "rep", "n", "t.way", "t.table")

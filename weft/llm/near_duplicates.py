@@ -9,12 +9,12 @@ pivot's own weight, is the number of its shingles that the pivot lacks less thos
 1. Records with equal sets fall into one class; only classes are compared.
 2. The range of hashes is cut into blocks, about 3 shingles in each, as many as the record's length class
    says. A row of the pivot table holds a block's distances to all pivots. Wherever the sets agree in a
-   block, the maximum coordinate difference of its rows is zero, so classes that have the same row in one
-   of ``ROWS`` blocks are candidates (equi-join on the row's hash, with class and block). Rows of a single
+   block, the maximum coordinate difference of its rows is zero, so classes that have the same row in two
+   of ``ROWS`` blocks (short ones in one) are candidates (equi-join on the row's hash, with class and block). Rows of a single
    shingle are left out. Sets of fewer blocks are cut several times over, by other hashes. Each class is
    cut in the ways of its own and of the next length class; so of two similar sets, the smaller is also
    cut in the larger one's way. A block has two shingles or more and is untouched by the differences of a
-   pair at the threshold with a chance of 0.24 or more, and none of 40 is with a chance below 2e-5.
+   pair at the threshold with a chance of 0.24 or more, and fewer than two of 52 are with a chance below 1e-5.
 3. A coarser table, of blocks of about 40 shingles at every length, gives a lower bound of the distance:
    by the triangle inequality a block's largest coordinate difference is at most the block's distance, and
    the differences of all blocks add up. Pairs above the allowed distance are discarded. This is free of losses.
@@ -35,7 +35,9 @@ from weft.llm.components import connected_components
 from weft.llm.shingles import _mix, digest, grouped, jaccard, shingles
 from weft.runtime import stage
 
-PIVOTS, ROWS = 32, 40
+PIVOTS, ROWS = 32, 52
+#: Rows that candidates share at least; sets of fewer than ``SHORT`` shingles one.
+SHARED, SHORT = 2, 20
 FINE, COARSE = 2.5, 35
 #: Members of a class are compared in blocks of about this many, so no task writes all pairs of a large one.
 BLOCK = 1000
@@ -219,7 +221,9 @@ class NearDuplicates:
         # join. Keys hold the kind, so kinds do not meet here.
         a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "n"))) for s in "ab")
         near = F.least("n_a", "n_b") >= F.ceil(threshold * F.greatest("n_a", "n_b") - 1e-9)
-        pairs = a.join(b, "key").filter((F.col("cid_a") < F.col("cid_b")) & near).select("cid_a", "cid_b").distinct()
+        pairs = a.join(b, "key").filter((F.col("cid_a") < F.col("cid_b")) & near)
+        pairs = pairs.groupBy("cid_a", "cid_b").agg(F.count("*").alias("k"), F.first(F.least("n_a", "n_b")).alias("n"))
+        pairs = pairs.filter(F.col("k") >= F.when(F.col("n") < SHORT, 1).otherwise(SHARED)).select("cid_a", "cid_b")
         # Two sets that both kinds have are candidates in both: only the sets decide.
         for s, key in (("a", ["cid_a"]), ("b", ["kind", "cid_b"])):
             pairs = pairs.join(classes.select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "way"))), key)

@@ -152,6 +152,45 @@ def test_shingles():
     assert jaccard(a, b) == (4, 6)
 
 
+def shuffled(spark, do):
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        found = context.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.length()))
+
+    before, out = written(), do()
+    return written() - before, out
+
+
+def test_records_without_candidates_are_not_shuffled(spark):
+    # What is shuffled of a record that is like no other are the keys of its rows: not its text and tables.
+    rng = random.Random(6)
+    rows = [("span", f"r{i:03}", " ".join(f"{rng.getrandbits(48):x}" for _ in range(2000)), 0, 0, 0) for i in range(300)]
+    rows += [("span", "s000", rows[0][2] + " more", 0, 0, 0), ("span", "s001", rows[1][2], 0, 0, 0)]
+    spark.createDataFrame(rows, SHAPE).createOrReplaceTempView("unlike")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = spark.table("unlike")
+        size, out = shuffled(spark, lambda: {tuple(r) for r in N.NearDuplicates(records, width=3, threshold=0.7).pairs().collect()})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out == {("span", "r000", "s000"), ("span", "r001", "s001")}
+    texts = sum(len(r[2]) for r in rows)
+    assert size < 0.2 * texts, (size, texts)
+
+
+def test_marked_rows_hold_all_that_are_wanted(spark, monkeypatch):
+    rows, wanted = spark.range(20_000).selectExpr("cast(id as string) as k"), spark.range(0, 20_000, 100).selectExpr("cast(id as string) as k")
+    for words, most in ((1 << 18, 210), (1 << 8, 600), (1, 20_000)):
+        monkeypatch.setattr(N, "WORDS", words)
+        kept = {r.k for r in N.marked(rows, wanted, "k").collect()}
+        assert kept >= {str(i) for i in range(0, 20_000, 100)} and len(kept) <= most
+        assert {r.k for r in N.marked(rows, wanted, "k", how="left_anti").collect()} == {str(i) for i in range(20_000)} - kept
+    assert N.marked(rows, wanted.limit(0), "k").count() == 0
+
+
 def test_empty_table(spark):
     found = N.NearDuplicates(spark.createDataFrame([], SHAPE))
     assert found.pairs().count() == 0 and found.groups().count() == 0

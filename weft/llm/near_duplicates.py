@@ -41,6 +41,8 @@ SHARED, SHORT = 2, 20
 FINE, COARSE = 2.5, 35
 #: Members of a class are compared in blocks of about this many, so no task writes all pairs of a large one.
 BLOCK = 1000
+#: Words of 64 bits, at most, in the marks that keep unneeded rows out of a shuffle.
+WORDS = 1 << 18
 
 # Which pivots have a shingle: bits of its hash, mixed. A row's hash is linear in its coordinates.
 _WEIGHTS = np.random.default_rng(20).integers(0, 2**64, PIVOTS, dtype=np.uint64)
@@ -200,6 +202,23 @@ def _verify(width: int, threshold: float):
     return run
 
 
+def marked(rows: DataFrame, wanted: DataFrame, *on: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose columns ``on`` have the hash of a row of ``wanted``, or with "left_anti" the others.
+
+    Hashes are bits of a table of ``WORDS`` rows at most, which is broadcast, so that wide rows needn't be
+    shuffled to be told apart. All rows of equal columns are kept or left out together; no wanted row is
+    lost, and where the wanted are very many, more of the unwanted are kept.
+    """
+    word = F.pmod(F.xxhash64(*on), F.lit(WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(*on), 58).cast("int"))
+    marks = wanted.select(word.alias("_word"), bit.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    return rows.join(F.broadcast(marks), (word == F.col("_word")) & (bit.bitwiseAND(F.col("_bits")) != 0), how)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("kind", F.explode(F.array("cid_a", "cid_b")).alias("cid"))
+
+
 class NearDuplicates:
     """Links between all records of ``records`` (kind, id, text) with shingle similarity >= threshold.
 
@@ -214,9 +233,13 @@ class NearDuplicates:
         ).filter("kind is not null and id is not null and text is not null")
         shape = "kind string, id string, cid long, text_id long, n int, way int, keys array<long>, own_table binary, next_table binary"
         self.sketch = stage(records.mapInArrow(_sketch(width, threshold), shape), "sketch")
-        classes = self.sketch.groupBy("kind", "cid").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "way", "own_table", "next_table")))  # equal in a class
-        classes = stage(classes, "classes")
-        rows = self.sketch.groupBy("kind", "cid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("cid", "n", F.explode("keys").alias("key"))
+        one = ["kind", "cid"]
+        #: Classes: kind, cid, length class, and how many rows of the sketch they have.
+        self.classes = classes = stage(self.sketch.groupBy(*one).agg(F.first("way").alias("way"), F.count("*").alias("copies")), "classes")
+        # Nearly all classes have one record, whose keys needn't be brought together with others.
+        sets, many = self.sketch.select("kind", "cid", "n", "keys"), classes.filter("copies > 1")
+        several = marked(sets, many, *one).groupBy(*one).agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+        rows = marked(sets, many, *one, how="left_anti").unionByName(several).select("cid", "n", F.explode("keys").alias("key"))
         # The two sides are one exchange, used twice; a key with very many rows is split by the adaptive skew
         # join. Keys hold the kind, so kinds do not meet here.
         a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "n"))) for s in "ab")
@@ -229,15 +252,17 @@ class NearDuplicates:
             pairs = pairs.join(classes.select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "way"))), key)
         #: Candidate pairs of classes: kind, cid_a, cid_b and their length classes.
         self.candidates = pairs = stage(pairs.select("kind", "cid_a", "cid_b", "way_a", "way_b"), "candidates")
-        pairs = pairs.withColumn("way", F.greatest("way_a", "way_b")).drop("way_a", "way_b")
-        of_way = F.explode(F.array(*(F.struct((F.col("way") + k).alias("way"), F.col(t).alias("table")) for k, t in enumerate(("own_table", "next_table"))))).alias("t")
-        tables = classes.select("kind", "cid", "rep", "n", of_way).select("kind", "cid", "rep", "n", "t.way", "t.table")
+        # Equal in a class, so of its records the first one's will do.
+        equal = (F.first(c).alias(c) for c in ("n", "own_table", "next_table"))
+        tables = stage(marked(self.sketch, _ends(pairs), *one).groupBy(*one).agg(F.min("id").alias("rep"), *equal), "tables")
         for s in "ab":
-            pairs = pairs.join(tables.select("kind", "way", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "rep", "n", "table"))), ["kind", "way", f"cid_{s}"])
+            pairs = pairs.join(tables.select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "rep", "n", "own_table", "next_table"))), ["kind", f"cid_{s}"])
+            table = F.when(F.col(f"way_{s}") >= F.greatest("way_a", "way_b"), F.col(f"own_table_{s}")).otherwise(F.col(f"next_table_{s}"))
+            pairs = pairs.withColumn(f"table_{s}", table).drop(f"own_table_{s}", f"next_table_{s}")
         #: What the pivot tables leave: kind, cid_a, cid_b, rep_a, rep_b.
         self.left = stage(pairs.mapInArrow(_discard(threshold), "kind string, cid_a long, cid_b long, rep_a string, rep_b string"), "left")
         wanted = self.left.select("kind", F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-        texts = stage(records.join(wanted, ["kind", "id"], "left_semi").distinct(), "texts")
+        texts = stage(marked(records, wanted, "kind", "id").join(wanted, ["kind", "id"], "left_semi").distinct(), "texts")
         both = self.left
         for s in "ab":
             both = both.join(texts.select("kind", F.col("id").alias(f"rep_{s}"), F.col("text").alias(f"text_{s}")), ["kind", f"rep_{s}"])
@@ -263,7 +288,9 @@ class NearDuplicates:
         paired among themselves only with their least id. Records of different texts always come out as
         pairs, and without ``expand`` those of equal ones do too.
         """
-        members = self.members()
+        # Only of classes in a link or with copies: all others' records are in no pair.
+        meeting = _ends(self.links).unionByName(self.classes.filter("copies > 1").select("kind", "cid"))
+        members = marked(self.sketch.select("kind", "id", "cid"), meeting, "kind", "cid").distinct()
         sizes = members.groupBy("kind", "cid").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
         same = sizes.filter("size > 1").select("kind", F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"), F.col("blocks").alias("blocks_a"), F.col("blocks").alias("blocks_b"))
         links = self.links.select("kind", "cid_a", "cid_b")

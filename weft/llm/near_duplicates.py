@@ -43,6 +43,8 @@ FINE, COARSE = 2.5, 35
 BLOCK = 1000
 #: Words of 64 bits, at most, in the marks that keep unneeded rows out of a shuffle.
 WORDS = 1 << 18
+#: Sizes that the rows tell apart, in 16 bits; longer sets pass as this long.
+LONGEST = (1 << 16) - 1
 
 # Which pivots have a shingle: bits of its hash, mixed. A row's hash is linear in its coordinates.
 _WEIGHTS = np.random.default_rng(20).integers(0, 2**64, PIVOTS, dtype=np.uint64)
@@ -215,6 +217,15 @@ def marked(rows: DataFrame, wanted: DataFrame, *on: str, how: str = "left_semi")
     return rows.join(F.broadcast(marks), (word == F.col("_word")) & (bit.bitwiseAND(F.col("_bits")) != 0), how)
 
 
+def _one_of_each(sketch: DataFrame, many: DataFrame, *columns: str) -> DataFrame:
+    """Kind, cid and ``columns`` of one record of each class, the one of least id. Nearly all classes have
+    one row, which needn't be shuffled to know that: only those of ``many`` are grouped."""
+    rows = sketch.select("kind", "cid", *columns)
+    least = (F.min(c).alias(c) if c == "id" else F.first(c).alias(c) for c in columns)  # all but the id are equal in a class
+    several = marked(rows, many, "kind", "cid").groupBy("kind", "cid").agg(*least)
+    return marked(rows, many, "kind", "cid", how="left_anti").unionByName(several)
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select("kind", F.explode(F.array("cid_a", "cid_b")).alias("cid"))
 
@@ -236,25 +247,25 @@ class NearDuplicates:
         one = ["kind", "cid"]
         #: Classes: kind, cid, length class, and how many rows of the sketch they have.
         self.classes = classes = stage(self.sketch.groupBy(*one).agg(F.first("way").alias("way"), F.count("*").alias("copies")), "classes")
-        # Nearly all classes have one record, whose keys needn't be brought together with others.
-        sets, many = self.sketch.select("kind", "cid", "n", "keys"), classes.filter("copies > 1")
-        several = marked(sets, many, *one).groupBy(*one).agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-        rows = marked(sets, many, *one, how="left_anti").unionByName(several).select("cid", "n", F.explode("keys").alias("key"))
+        many = classes.filter("copies > 1")
+        # Row keys of 48 bits, below them the size of the set: chance meetings of keys only add candidates.
+        size = F.least("n", F.lit(LONGEST)).cast("long")
+        rows = _one_of_each(self.sketch, many, "n", "keys").select("cid", size.alias("n"), F.explode("keys").alias("key"))
+        rows = rows.select("cid", F.col("key").bitwiseAND(F.lit(~LONGEST)).bitwiseOR(F.col("n")).alias("key"))
         # The two sides are one exchange, used twice; a key with very many rows is split by the adaptive skew
         # join. Keys hold the kind, so kinds do not meet here.
-        a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "n"))) for s in "ab")
-        near = F.least("n_a", "n_b") >= F.ceil(threshold * F.greatest("n_a", "n_b") - 1e-9)
-        pairs = a.join(b, "key").filter((F.col("cid_a") < F.col("cid_b")) & near)
-        pairs = pairs.groupBy("cid_a", "cid_b").agg(F.count("*").alias("k"), F.first(F.least("n_a", "n_b")).alias("n"))
-        pairs = pairs.filter(F.col("k") >= F.when(F.col("n") < SHORT, 1).otherwise(SHARED)).select("cid_a", "cid_b")
+        a, b = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cid", "key"))) for s in "ab")
+        n_a, n_b = (F.col(f"key_{s}").bitwiseAND(F.lit(LONGEST)) for s in "ab")
+        near = F.least(n_a, n_b) >= F.ceil(threshold * F.greatest(n_a, n_b) - 1e-9)
+        pairs = a.join(b, (F.shiftrightunsigned("key_a", 16) == F.shiftrightunsigned("key_b", 16)) & (F.col("cid_a") < F.col("cid_b")) & near)
+        shared = F.when(F.least(n_a, n_b) < SHORT, SHARED).otherwise(1)  # of short sets, one row will do
+        pairs = pairs.groupBy("cid_a", "cid_b").agg(F.sum(shared).alias("k")).filter(F.col("k") >= SHARED).select("cid_a", "cid_b")
         # Two sets that both kinds have are candidates in both: only the sets decide.
         for s, key in (("a", ["cid_a"]), ("b", ["kind", "cid_b"])):
             pairs = pairs.join(classes.select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "way"))), key)
         #: Candidate pairs of classes: kind, cid_a, cid_b and their length classes.
         self.candidates = pairs = stage(pairs.select("kind", "cid_a", "cid_b", "way_a", "way_b"), "candidates")
-        # Equal in a class, so of its records the first one's will do.
-        equal = (F.first(c).alias(c) for c in ("n", "own_table", "next_table"))
-        tables = stage(marked(self.sketch, _ends(pairs), *one).groupBy(*one).agg(F.min("id").alias("rep"), *equal), "tables")
+        tables = stage(_one_of_each(marked(self.sketch, _ends(pairs), *one), many, "id", "n", "own_table", "next_table").withColumnRenamed("id", "rep"), "tables")
         for s in "ab":
             pairs = pairs.join(tables.select("kind", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "rep", "n", "own_table", "next_table"))), ["kind", f"cid_{s}"])
             table = F.when(F.col(f"way_{s}") >= F.greatest("way_a", "way_b"), F.col(f"own_table_{s}")).otherwise(F.col(f"next_table_{s}"))
